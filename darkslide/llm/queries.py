@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, packing, simhash, toxicity
+from . import ctw, lattice, packing, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    scored = ctw.score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,7 +38,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_lattice": op3_lattice, "op5_simhash": op5_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
