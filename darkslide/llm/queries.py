@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, lattice, packing, simhash, toxicity
+from . import ctw, html, lattice, packing, simhash, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"), html.fit_extractor())
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -38,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op7_html": op7_html, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
