@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, html, lattice, packing, simhash, toxicity
+from . import ctw, decontam, html, langid, lattice, packing, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(langid.page_rows(table(spark, sf_dir, "pages")), langid.fit_text_model(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("page_id"), "language", "probability", "text_language", "declared")
+
+
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -35,6 +40,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"), html.fit_extractor())
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -42,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op7_html": op7_html, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op7_html": op7_html, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
