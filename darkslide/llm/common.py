@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +110,18 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_0
         yield t, starts(t)
 
 
+def filtered(docs: DataFrame, judge: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``docs``, whole, whose text is kept; ``judge`` makes a task's function from texts to what is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for b in batches:
+            yield b.filter(pa.array(keeps(b.column("text").to_pylist()), pa.bool_()))
+
+    tuned(docs)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labels_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least index that each of ``n`` nodes reaches over the edges ``i``-``j``."""
     label = np.arange(n)

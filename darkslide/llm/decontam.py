@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import filtered, tuned
 
 #: Words of a block; passages are 2 to 5 blocks in a row, one more than their item needs.
 BLOCK = 16
@@ -242,14 +242,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limits: Thresholds
     """
     spark = tuned(docs)
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long"
-    items = [(int(r[0]), words_of(r[1])) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").collect()]
-    items = [(i, w) for i, w in items if w]
-    if not items:
+    make = _search(docs, benchmark, limits, rank)
+    if make is None:
         return spark.createDataFrame([], schema)
-    latent = fit_latent(docs, [w for _, w in items], rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _Searcher(latent, items, limits)
+        search = make()
         for b in batches:
             found = search.batch(b.column("text").to_pylist())
             ids = b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
@@ -258,7 +256,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limits: Thresholds
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows of a null doc_id stay."""
-    found = find_contamination(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_held"], "left_anti")
+def _search(docs: DataFrame, benchmark: DataFrame, limits: Thresholds, rank: int):
+    """A task's searcher, fitted on all of ``docs``; None if the benchmark has no words."""
+    items = [(int(r[0]), words_of(r[1])) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").collect()]
+    items = [(i, w) for i, w in items if w]
+    if not items:
+        return None
+    latent = fit_latent(docs, [w for _, w in items], rank)
+    return lambda: _Searcher(latent, items, limits)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Thresholds = Thresholds(), rank: int = RANK) -> DataFrame:
+    """``docs`` without those that hold a benchmark item."""
+    tuned(docs)
+    make = _search(docs, benchmark, limits, rank)
+    if make is None:
+        return docs
+
+    def judge():
+        search = make()
+
+        def keeps(texts: list[str | None]) -> list[bool]:
+            held = {f[0] for f in search.batch(texts)}
+            return [i not in held for i in range(len(texts))]
+
+        return keeps
+
+    return filtered(docs, judge)

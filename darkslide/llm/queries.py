@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, html, langid, lattice, packing, simhash, toxicity
+from . import chat, ctw, decontam, html, langid, lattice, licences, packing, simhash, toxicity
 from .common import table
 
 
@@ -36,10 +36,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.find_licences(table(spark, sf_dir, "documents"), licences.fit_licences())
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"), html.fit_extractor())
 
 
+#: Schemas of the tools that the transcripts may call.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}},
+    "calculator": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}, "additionalProperties": False},
+}
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op7_html": op7_html, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_langid": op2_langid, "op3_lattice": op3_lattice, "op4_ctw": op4_ctw, "op5_simhash": op5_simhash, "op6_licences": op6_licences, "op7_html": op7_html, "op8_chat": op8_chat, "op9_decontam": op9_decontam, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

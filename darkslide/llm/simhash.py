@@ -133,6 +133,9 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay as they are: nothing tells them apart.
     """
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.join(kept, known["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.where("doc_id is null"))
+    found = written(simhash_components(docs).where("doc_id is not null").select("doc_id", "component_id"))
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import filtered, tuned
 
 #: Labelled rows that the classifier is fitted on, at most.
 FIT_ROWS = 40_000
@@ -261,19 +261,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
     return ToxicityModel(chars, {f: float(w[i]) for f, i in index.items()}, bias)
 
 
+def _scorer(model: ToxicityModel):
+    """A task's function from texts to scores."""
+    chars, weights, bias = model
+
+    def make():
+        seen: dict[str, tuple[str, ...]] = {}
+
+        def scores(texts: list[str | None]) -> list[float]:
+            z = (bias + sum(weights[x] for x in sorted(_doc_features(t, chars, seen, weights))) for t in texts)
+            return [1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) for x in z]
+
+        return scores
+
+    return make
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) for every row, over its whole text; a null text counts as empty, a null doc_id stays null."""
     tuned(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chars, weights, bias = model
+    make = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[str, ...]] = {}
+        scores = make()
         for b in batches:
-            scores = []
-            for text in b.column("text").to_pylist():
-                z = bias + sum(weights[x] for x in sorted(_doc_features(text, chars, seen, weights)))
-                scores.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return src.mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFrame:
+    """``docs`` without those that score ``at`` or more."""
+    make = _scorer(model)
+
+    def judge():
+        scores = make()
+        return lambda texts: [s < at for s in scores(texts)]
+
+    return filtered(docs, judge)
