@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, tuned
+from .common import tuned, written
 
 #: Words of a block; passages are 2 to 5 blocks in a row, one more than their item needs.
 BLOCK = 16
 #: Words of an item that are searched for at once; longer items are searched for in segments.
 SEGMENT = 64
+#: Blocks that are searched at once.
+SEARCHED = 1024
 #: Latent directions.
 RANK = 128
 #: What the benchmark's items, which are passages of the matrix as well, weigh together, against all other passages.
@@ -44,27 +46,41 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (t.strip(".,;:!?\"'()[]{}#*%$&|-") for t in (text or "").lower().split()) if w]
 
 
-class _Ids(dict):
-    """Word to number; 0 for words that the benchmark lacks. Words with punctuation are remembered as they stand."""
+class _Numbers:
+    """Words to numbers; 0 for words that the benchmark lacks, none for what is no word. Remembers tokens as they stand."""
 
     def __init__(self, words: list[str]):
-        super().__init__((w, i + 1) for i, w in enumerate(words))
-        self.known, self.limit = dict(self), 400_000 + 2 * len(words)
+        self.known = {w: i + 1 for i, w in enumerate(words)}
+        self.seen, self.limit = dict(self.known), 400_000 + 2 * len(words)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        tokens = (text or "").lower().split()
+        got = list(map(self.seen.get, tokens))
+        if None in got:
+            if len(self.seen) > self.limit:
+                self.seen = dict(self.known)
+            for t in set(tokens):
+                if t not in self.seen:
+                    w = t.strip(".,;:!?\"'()[]{}#*%$&|-")
+                    self.seen[t] = self.known.get(w, 0) if w else -1
+            got = list(map(self.seen.get, tokens))
+        x = np.fromiter(got, np.int64, len(got))
+        return x[x >= 0]
+
+
+def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, ids): each text's words as numbers, little-endian; read once here, then by each pass."""
 
-    def __missing__(self, token: str) -> int:
-        w = token.strip(".,;:!?\"'()[]{}#*%$&|-")
-        i = self.known.get(w, 0) if w else -1
-        if len(self) > self.limit:
-            self.clear()
-            self.update(self.known)
-        self[token] = i
-        return i
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, kind = _Numbers(words), _kind(words)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([numbers(t).astype(kind).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
 
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary"))
 
-def _numbers(text: str | None, ids: _Ids) -> np.ndarray:
-    tokens = (text or "").lower().split()
-    x = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
-    return x[x >= 0]
+
+def _kind(words: list[str]) -> str:
+    return "<u2" if len(words) < 65535 else "<u4"
 
 
 def _once(x: np.ndarray) -> np.ndarray:
@@ -75,41 +91,41 @@ def _once(x: np.ndarray) -> np.ndarray:
     return np.where(again, 0, x)
 
 
-def _passes(docs: DataFrame, words: list[str], table: np.ndarray | None) -> np.ndarray:
-    """Sums over all passages of 32 words. Without a ``table``: the passages that have each word, and at 0 all passages.
+def _passes(texts: DataFrame, words: list[str], table: np.ndarray | None) -> np.ndarray:
+    """Sums over all passages of 32 words of ``encoded`` texts. Without a ``table``: the passages that have each word, and at 0 all passages.
 
     With one (words x directions, last the squared weight): the transposed passage matrix times its product with the
     directions, each passage scaled to length 1; without the words' own weights.
     """
-    n, size = len(words) + 1, 2 * BLOCK
+    n, size, kind = len(words) + 1, 2 * BLOCK, _kind(words)
     k = 1 if table is None else table.shape[1] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, out = _Ids(words), np.zeros((n, k))
+        out, rows = np.zeros((n, k)), np.empty((size * 256, k + 1), np.float32)
         for b in batches:
-            docs_ = [_numbers(t, ids) for t in b.column("text").to_pylist()]
+            docs_ = [np.frombuffer(x, kind).astype(np.int64) for x in b.column("ids").to_pylist()]
             x = np.concatenate([np.append(d, np.zeros(-len(d) % size, np.int64)) for d in docs_] or [np.zeros(0, np.int64)])
             x = _once(x)
-            for lo in range(0, len(x), size * 2048):
-                cut = x[lo : lo + size * 2048]
+            for lo in range(0, len(x), size * 256):
+                cut = x[lo : lo + size * 256]
                 passage = np.arange(len(cut)) // size
                 if table is None:
                     pair = np.unique(passage * n + cut)
                     out[:, 0] += np.bincount(pair % n, minlength=n)
                     out[0, 0] += passage[-1] + 1 - (pair % n == 0).sum()
                     continue
-                y = table[cut].reshape(-1, size, k + 1).sum(axis=1)
+                y = np.take(table, cut, axis=0, out=rows[: len(cut)], mode="clip").reshape(-1, size, k + 1).sum(axis=1)
                 y = y[:, :-1] / y[:, -1:]
-                order = np.argsort(cut, kind="stable")
-                first = np.flatnonzero(np.append(True, cut[order][1:] != cut[order][:-1]))
-                out[cut[order][first]] += np.add.reduceat(y[passage[order]], first, axis=0)
+                own, at = np.unique(cut, return_inverse=True)
+                has = np.zeros((len(own), len(y)), np.float32)  # the chunk's part of the transposed matrix
+                np.add.at(has, (at, passage), np.float32(1))
+                out[own] += has @ y
         at = np.flatnonzero(out.any(axis=1))
         sums = pa.FixedSizeListArray.from_arrays(pa.array(out[at].reshape(-1)), k) if len(at) else pa.array([], pa.list_(pa.float64(), k))
         yield pa.RecordBatch.from_arrays([pa.array(at), sums.cast(pa.list_(pa.float64()))], ["word", "s"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, s array<double>")
     total = np.zeros((n, k))
-    for r in rows.groupBy("word").agg(*(F.sum(F.col("s")[i]) for i in range(k))).collect():  # a row for each word of the benchmark
+    for r in texts.select("ids").mapInArrow(run, "word long, s array<double>").groupBy("word").agg(*(F.sum(F.col("s")[i]) for i in range(k))).collect():  # a row for each word of the benchmark
         total[r[0]] = r[1:]
     return total
 
@@ -128,11 +144,10 @@ class Latent(NamedTuple):
         return out
 
 
-def fit_latent(docs: DataFrame, items: list[list[str]], rank: int = RANK, seed: int = 9) -> Latent:
-    """Inverse passage frequencies and the leading latent directions over all passages of ``docs`` and the items."""
-    words = sorted({w for x in items for w in x})
+def fit_latent(texts: DataFrame, words: list[str], items: list[list[str]], rank: int = RANK, seed: int = 9) -> Latent:
+    """Inverse passage frequencies and the leading latent directions over all passages of ``encoded`` texts and the items."""
     n, index = len(words) + 1, {w: i + 1 for i, w in enumerate(words)}
-    df = _passes(docs, words, None)[:, 0]
+    df = _passes(texts, words, None)[:, 0]
     total = float(df[0])
     idf = np.log((total + 1) / (df + 1)) + 0.5
     idf[0] = 0
@@ -147,7 +162,7 @@ def fit_latent(docs: DataFrame, items: list[list[str]], rank: int = RANK, seed:
     latent = Latent(words, idf, float(np.log(total + 1) + 0.5), basis)
 
     def image(basis: np.ndarray) -> np.ndarray:
-        return _passes(docs, words, latent._replace(directions=basis).table()) * idf[:, None] + weight * (own.T @ (own @ basis))
+        return _passes(texts, words, latent._replace(directions=basis).table()) * idf[:, None] + weight * (own.T @ (own @ basis))
 
     basis = np.linalg.qr(image(basis))[0]  # the range of the words' co-occurrence
     seen = image(basis)
@@ -173,7 +188,8 @@ class _Searcher:
     """Benchmark items in latent space, by the passage length that holds them."""
 
     def __init__(self, latent: Latent, items: list[tuple[int, list[str]]], limits: Thresholds):
-        self.limits, self.ids, self.table = limits, _Ids(latent.words), latent.table()
+        self.limits, self.table = limits, latent.table()[:, :-1].copy()
+        self.rows = np.empty((SEARCHED * BLOCK + 64 * BLOCK, self.table.shape[1]), np.float32)
         index = {w: i + 1 for i, w in enumerate(latent.words)}
         self.items = [(i, np.array([index[x] for x in w[k : k + SEGMENT]])) for i, w in items for k in range(0, max(1, len(w) - BLOCK), SEGMENT)]
         scale: dict[int, list[int]] = {}
@@ -181,12 +197,11 @@ class _Searcher:
             scale.setdefault(-(-len(w) // BLOCK) + 1, []).append(at)
         self.scales = []
         for size, ats in sorted(scale.items()):
-            y = np.stack([self.table[_once(self.items[a][1]), :-1].sum(axis=0) for a in ats])
+            y = np.stack([self.table[_once(self.items[a][1])].sum(axis=0) for a in ats])
             self.scales.append((size, ats, (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)).T))
 
-    def batch(self, texts: list[str | None]) -> list[tuple[int, int, float, float, bool, int]]:
+    def batch(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float, bool, int]]:
         """(text, item, cosine, share of the item's words in order, answer found, first word) where an item is found."""
-        docs = [_numbers(t, self.ids) for t in texts]
         top = self.scales[-1][0]
         n_blocks = np.array([-(-len(d) // BLOCK) + top - 1 if len(d) else 0 for d in docs], np.int64)  # so that no passage reaches into the next text
         ends = np.cumsum(n_blocks)
@@ -194,11 +209,11 @@ class _Searcher:
         for d, end, n in zip(docs, ends, n_blocks):
             x[(end - n) * BLOCK : (end - n) * BLOCK + len(d)] = _once(d)
         out = []
-        for lo in range(0, len(x) // BLOCK, 8192):
-            cut = x[lo * BLOCK : (lo + 8192 + top - 1) * BLOCK]
-            blocks = self.table[cut, :-1].reshape(-1, BLOCK, self.table.shape[1] - 1).sum(axis=1)
+        for lo in range(0, len(x) // BLOCK, SEARCHED):
+            cut = x[lo * BLOCK : (lo + SEARCHED + top - 1) * BLOCK]
+            blocks = np.take(self.table, cut, axis=0, out=self.rows[: len(cut)], mode="clip").reshape(-1, BLOCK, self.table.shape[1]).sum(axis=1)
             blocks = np.concatenate([blocks, np.zeros((top, blocks.shape[1]), np.float32)])
-            m = min(8192, len(x) // BLOCK - lo)
+            m = min(SEARCHED, len(x) // BLOCK - lo)
             y, have = blocks[:m].copy(), 1
             for size, ats, q in self.scales:
                 while have < size:
@@ -241,45 +256,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limits: Thresholds
     item's places in a document the best counts; repeated rows count each. Empty tables give no rows.
     """
     spark = tuned(docs)
-    schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long"
-    make = _search(docs, benchmark, limits, rank)
-    if make is None:
-        return spark.createDataFrame([], schema)
+    items = [(int(r[0]), words_of(r[1])) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").collect()]
+    items = [(i, w) for i, w in items if w]
+    if not items:
+        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long")
+    words = sorted({w for _, x in items for w in x})
+    texts = encoded(docs, words)
+    latent = fit_latent(texts, words, [w for _, w in items], rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = make()
+        search, kind = _Searcher(latent, items, limits), _kind(words)
         for b in batches:
-            found = search.batch(b.column("text").to_pylist())
+            found = search.batch([np.frombuffer(x, kind).astype(np.int64) for x in b.column("ids").to_pylist()])
             ids = b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in zip(range(1, 6), (pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found", "at_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def _search(docs: DataFrame, benchmark: DataFrame, limits: Thresholds, rank: int):
-    """A task's searcher, fitted on all of ``docs``; None if the benchmark has no words."""
-    items = [(int(r[0]), words_of(r[1])) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").collect()]
-    items = [(i, w) for i, w in items if w]
-    if not items:
-        return None
-    latent = fit_latent(docs, [w for _, w in items], rank)
-    return lambda: _Searcher(latent, items, limits)
+    return texts.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Thresholds = Thresholds(), rank: int = RANK) -> DataFrame:
-    """``docs`` without those that hold a benchmark item."""
-    tuned(docs)
-    make = _search(docs, benchmark, limits, rank)
-    if make is None:
-        return docs
-
-    def judge():
-        search = make()
-
-        def keeps(texts: list[str | None]) -> list[bool]:
-            held = {f[0] for f in search.batch(texts)}
-            return [i not in held for i in range(len(texts))]
-
-        return keeps
-
-    return filtered(docs, judge)
+    """``docs`` without those that hold a benchmark item; rows of a null doc_id stay."""
+    found = written(find_contamination(docs, benchmark, limits, rank).select(F.col("doc_id").alias("_held")).distinct())
+    return docs.join(found, docs["doc_id"] == found["_held"], "left_anti")
