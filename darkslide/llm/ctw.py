@@ -2,8 +2,8 @@
 
 A byte is eight binary decisions. For each of the 255 places among them there is a tree of the bytes that stand
 before, down to a fixed depth. Each node holds a Krichevsky-Trofimov estimate of its bit and is mixed with what its
-children say, half and half beforehand; the counts of the corpus turn the halves into weights. A byte's probability
-is the product of its eight mixtures over all depths of its context.
+children say, half and half beforehand; the counts of the corpus turn the halves into weights. Below the last context
+that was seen nothing is mixed in. A byte's probability is the product of its eight mixtures over all depths of its context.
 
 The counts are gathered in blocks, one for each split of the table. A block's distinct grams (context and byte) go
 out in a few compressed chunks, are summed by gram, go to the subtree of their three latest context bytes, and their
@@ -166,11 +166,13 @@ def subtree(keys: np.ndarray, n: np.ndarray, top: list[Level] | None = None, dow
         key = ((levels[-1].key >> np.uint64(16)) << np.uint64(8)) | (levels[-1].key & np.uint64(255))
         steps.append(np.searchsorted(above.key, key))
         levels.append(above)
-    p = levels[0].estimate(bit, at)
+    count = lambda level: (level.zeros + level.ones)[at]
+    p, seen = levels[0].estimate(bit, at), count(levels[0]) > 0
     for level, parent in zip(levels[1:], steps):
         at = parent[at]
-        own = level.own[at]
-        p = own * level.estimate(bit, at) + (1 - own) * p
+        own, estimate = level.own[at], level.estimate(bit, at)
+        p = np.where(seen, own * estimate + (1 - own) * p, estimate)  # a context that was never seen has nothing to say
+        seen = count(level) > 0
     return np.log10(p).sum(axis=0)
 
 
