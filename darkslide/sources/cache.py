@@ -47,10 +47,10 @@ class Snapshot:
         self._fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _meta(self) -> dict:
-        if not self._fs.exists(self._path("_meta.json")):
+        if not self._fs.exists(self._path("meta.json")):
             return {"version": VERSION, "enabled": True, "data": None}
         try:
-            meta = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/_meta.json").collect()))
+            meta = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/meta.json").collect()))
         except ValueError:
             meta = {}
         if meta.get("version") != VERSION:  # of another make, or unreadable: start anew
@@ -58,12 +58,12 @@ class Snapshot:
         return meta
 
     def _set(self, meta: dict) -> None:
-        name = f"_meta.{uuid.uuid4().hex}"
+        name = f"meta.{uuid.uuid4().hex}"
         out = self._fs.create(self._path(name), True)
         out.write(bytearray(json.dumps(meta), "utf-8"))
         out.close()
-        self._fs.delete(self._path("_meta.json"), False)
-        self._fs.rename(self._path(name), self._path("_meta.json"))
+        self._fs.delete(self._path("meta.json"), False)
+        self._fs.rename(self._path(name), self._path("meta.json"))
 
     @property
     def enabled(self) -> bool:
