@@ -27,7 +27,7 @@ from .common import tuned
 #: Pages made up for the classifier, and the seed of their layouts.
 MADE_PAGES, SEED = 500, 7
 #: What it costs a node, in log probability, that its children differ.
-MIXED = 1.0
+MIXED = 0.4
 
 # Element names of HTML.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())

@@ -166,7 +166,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.when(declared != "", declared).alias("declared"), none.alias("suffix"), none.alias("domain"), F.col("source").cast("string").alias("host"))
 
 
-def keep_declared(docs: DataFrame, sure: float = 0.95) -> DataFrame:
+def keep_declared(docs: DataFrame, sure: float = 0.999999) -> DataFrame:
     """``docs`` without those that are in another language than they declare, with a probability of ``sure`` or more.
 
     Documents that declare nothing stay, as do those of a null doc_id and those whose evidence doesn't decide.
