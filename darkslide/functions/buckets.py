@@ -38,23 +38,34 @@ def iso(c: Column) -> Column:
     return F.when(v >= 0, _chain([(v <= top, key) for top, key in zip(ISO_TOPS, ISO_KEYS)] + [(v <= 10**9, ISO_KEYS[-1])]))
 
 
-def _nearest(distance, keys: tuple) -> Column:
-    """The first key of the least distance."""
-    return F.array_min(F.array(*(F.struct(distance(i).alias("d"), F.lit(i).alias("i")) for i in range(len(keys)))))["i"]
+def _nearest(distance, values: tuple) -> Column:
+    """The first value of the least distance. Distances fall and then rise along the values, so neighbours decide."""
+    out = _chain([(distance(i) <= distance(i + 1), F.lit(values[i])) for i in range(len(values) - 1)])
+    return out.otherwise(F.lit(values[-1]))
+
+
+def _first_near(nearest: list[Column], tests: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first nearest stop if it is near enough. Only one stop is nearest; of two at a tie the first."""
+    out = None
+    for n, (test, value) in zip(nearest, tests):
+        out = F.when(test, value) if out is None else out.when(test, value)
+        out = out.when(n, otherwise) if n is not nearest[-1] else out
+    return out.otherwise(otherwise)
 
 
 def aperture(c: Column) -> Column:
     f = c.cast("double")
-    at = _nearest(lambda i: F.abs(F.lit(APERTURES[i]) - f), APERTURES)
-    stop = F.element_at(F.array(*map(F.lit, APERTURES)), at + 1)
-    named = F.element_at(F.array(*map(F.lit, APERTURE_KEYS)), at + 1)
-    return F.when(f.isNotNull(), F.when(F.abs(stop - f) / stop < NEAR, named).otherwise(F.concat(F.lit("f/"), general(f))))
+    # each stop's own test of nearness is a branch of one chain: nothing is computed over a choice between stops
+    gap = lambda i: F.abs(F.lit(APERTURES[i]) - f)
+    nearest = [gap(i) <= gap(i + 1) for i in range(len(APERTURES) - 1)] + [F.lit(True)]
+    off = F.concat(F.lit("f/"), general(f))
+    tests = [(n & (gap(i) / APERTURES[i] < NEAR), F.lit(APERTURE_KEYS[i])) for i, n in enumerate(nearest)]
+    return F.when(f.isNotNull(), _first_near(nearest, tests, off))
 
 
 def shutter(c: Column) -> Column:
-    s = c.cast("double")
-    at = _nearest(lambda i: F.abs(F.lit(math.log(SHUTTERS[i])) - F.ln(s)), SHUTTERS)
-    return F.when(s > 0, F.element_at(F.array(*map(F.lit, SHUTTER_KEYS)), at + 1))
+    log = F.ln(F.when(c > 0, c.cast("double")))
+    return F.when(c > 0, _nearest(lambda i: F.abs(F.lit(math.log(SHUTTERS[i])) - log), SHUTTER_KEYS))
 
 
 def focal(c: Column) -> Column:

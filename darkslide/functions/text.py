@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def general(x: Column) -> Column:
-    """A number as Python's ``%g`` writes it, for magnitudes from 0.0001 to 999,999 of few decimals."""
-    shown = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), r"0+$", ""), r"\.$", "")
-    return F.when(x.isNull(), None).otherwise(shown)
+    """A number as Python's ``%g`` writes it, for magnitudes from 0.01 to 999,999 of at most four decimals."""
+    r = F.round(x, 4)
+    return F.when(r == F.floor(r), F.floor(r).cast("string")).otherwise(r.cast("string"))
 
 
 def iso_text(v: object) -> str:

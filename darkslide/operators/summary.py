@@ -41,8 +41,12 @@ def by_dimension(df: DataFrame, name: str, ordered: bool = True) -> DataFrame:
 
     Bins come in their own order, dates by key, names by count. Keys outside a list of bins are left out.
     """
-    _, _, order = dimension(name)
-    counted = df.groupBy(key_of(name).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    column, binned, order = dimension(name)
+    if isinstance(order, tuple):  # bins of numbers: few raw values are binned, after a first count of them
+        raw = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        counted = raw.groupBy(binned(F.col("_v")).alias("key")).agg(F.sum("_c").alias("count"))
+    else:
+        counted = df.groupBy(key_of(name).alias("key")).agg(F.count(F.lit(1)).alias("count"))
     # the groups are few: their sum over all is the number of records, keyless ones included
     total = counted.agg(F.sum("count").alias("_n"))
     out = counted.join(F.broadcast(total)).where("key is not null")  # one row
