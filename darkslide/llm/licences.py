@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,7 +24,9 @@ from .common import tuned
 from .decontam import lcs
 
 #: Made-up paragraphs of each kind, and their seed.
-MADE, SEED = 160, 6
+MADE, SEED = 80, 6
+#: A gram must stand in so many made-up paragraphs to count.
+LEAST = 3
 #: Probability from which a family is named; below it the paragraph is unknown.
 SURE = 0.5
 #: Share of a template's words that a paragraph has in order, from which the template confirms the family.
@@ -159,7 +162,8 @@ def fit_licences(made: int = MADE, seed: int = SEED) -> LicenceModel:
     """Trains on made-up paragraphs and calibrates on others."""
     r = random.Random(seed)
     train, held = _made(r, made), _made(r, made // 2)
-    index = {g: i for i, g in enumerate(sorted({g for w, _ in train for g in grams(w)}))}
+    found = Counter(g for w, _ in train for g in grams(w))
+    index = {g: i for i, g in enumerate(sorted(g for g, n in found.items() if n >= LEAST))}
 
     def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(rows), len(index) + 1), np.float32)
