@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,34 +39,48 @@ def iso(c: Column) -> Column:
     return F.when(v >= 0, _chain([(v <= top, key) for top, key in zip(ISO_TOPS, ISO_KEYS)] + [(v <= 10**9, ISO_KEYS[-1])]))
 
 
-def _nearest(distance, values: tuple) -> Column:
-    """The first value of the least distance. Distances fall and then rise along the values, so neighbours decide."""
-    out = _chain([(distance(i) <= distance(i + 1), F.lit(values[i])) for i in range(len(values) - 1)])
-    return out.otherwise(F.lit(values[-1]))
+def _last(test, lo: float, hi: float) -> float:
+    """The last double from ``lo``, where a test holds, to ``hi``, where it doesn't; by bisection over their bits."""
+    bits = lambda x: struct.unpack("<q", struct.pack("<d", x))[0]
+    real = lambda n: struct.unpack("<d", struct.pack("<q", n))[0]
+    a, b = bits(lo), bits(hi)
+    while b - a > 1:
+        mid = (a + b) // 2
+        a, b = (mid, b) if test(real(mid)) else (a, mid)
+    return real(a)
 
 
-def _first_near(nearest: list[Column], tests: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    """The value of the first nearest stop if it is near enough. Only one stop is nearest; of two at a tie the first."""
-    out = None
-    for n, (test, value) in zip(nearest, tests):
-        out = F.when(test, value) if out is None else out.when(test, value)
-        out = out.when(n, otherwise) if n is not nearest[-1] else out
-    return out.otherwise(otherwise)
+def _turns(stops: tuple, distance) -> list[float]:
+    """For each stop but the last the greatest value that is no nearer to the next one."""
+    return [_last(lambda x, i=i: distance(stops[i], x) <= distance(stops[i + 1], x), stops[i], stops[i + 1]) for i in range(len(stops) - 1)]
+
+
+_APERTURE_TURNS = _turns(APERTURES, lambda s, x: abs(s - x))
+_SHUTTER_TURNS = _turns(SHUTTERS, lambda s, x: abs(math.log(s) - math.log(x)))
+
+
+def _aperture_ends() -> list[tuple[float, str | None]]:
+    """Upper ends of the stretches of f-numbers that are one stop, or (None) none."""
+    out: list[tuple[float, str | None]] = []
+    for i, s in enumerate(APERTURES):
+        first = _APERTURE_TURNS[i - 1] if i else 0.0
+        top = _APERTURE_TURNS[i] if i < len(_APERTURE_TURNS) else 2 * s
+        near = lambda x, s=s: abs(s - x) / s < NEAR
+        if not near(math.nextafter(first, math.inf)):
+            out.append((_last(lambda x: not near(x), first, s), None))
+        out.append((top if near(top) else _last(near, s, top), APERTURE_KEYS[i]))
+    return out
 
 
 def aperture(c: Column) -> Column:
     f = c.cast("double")
-    # each stop's own test of nearness is a branch of one chain: nothing is computed over a choice between stops
-    gap = lambda i: F.abs(F.lit(APERTURES[i]) - f)
-    nearest = [gap(i) <= gap(i + 1) for i in range(len(APERTURES) - 1)] + [F.lit(True)]
-    off = F.concat(F.lit("f/"), general(f))
-    tests = [(n & (gap(i) / APERTURES[i] < NEAR), F.lit(APERTURE_KEYS[i])) for i, n in enumerate(nearest)]
-    return F.when(f.isNotNull(), _first_near(nearest, tests, off))
+    named = _chain([(f <= top, F.lit(key)) for top, key in _aperture_ends()])
+    return F.coalesce(named, F.concat(F.lit("f/"), general(f)))
 
 
 def shutter(c: Column) -> Column:
-    log = F.ln(F.when(c > 0, c.cast("double")))
-    return F.when(c > 0, _nearest(lambda i: F.abs(F.lit(math.log(SHUTTERS[i])) - log), SHUTTER_KEYS))
+    s = c.cast("double")
+    return F.when(s > 0, _chain([(s <= top, F.lit(key)) for top, key in zip(_SHUTTER_TURNS, SHUTTER_KEYS)]).otherwise(F.lit(SHUTTER_KEYS[-1])))
 
 
 def focal(c: Column) -> Column:
