@@ -70,4 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are learnt models, tokenizers and hashes, which SQL lacks: tests hold them against brute force."""
+    return {
+        "op3_lattice": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(i, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.j, r.c FROM r JOIN l ON l.i = r.i),
+n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT r.i AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.c) AS component_id, min(r.c) = r.i AS kept FROM r LEFT JOIN n ON n.i = r.i GROUP BY r.i""",
+    }
