@@ -183,6 +183,33 @@ def test_simhash_odd(odd, none):
     assert simhash.simhash_components(none).collect() == [] and simhash.simhash_dedup(none).collect() == []
 
 
+@pytest.mark.parametrize("part", [512, 4])
+def test_pipeline_drops_near_copies_from_0_8(spark, odd, none, part, monkeypatch):
+    import corpus_pipeline
+    from darkslide.llm import shingles
+
+    monkeypatch.setattr(shingles, "PART", part)
+    r = random.Random(7)
+    base = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.randint(100, 600))) for _ in range(40)]
+    rows = list(enumerate(base))
+    for k in range(160):  # copies with some words replaced, at similarities from 0.5 to 1
+        w = r.choice(base[:25]).split()
+        for _ in range(r.randint(0, len(w) // 20)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    label = brute_components(sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    groups = {}
+    for (i, _), g in zip(rows, label):
+        groups.setdefault(g, []).append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()} == {min(g) for g in groups.values()}
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
+    assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == [1, 2, 5, 6, 7] and kept.where("doc_id is null").count() == 2
+    assert corpus_pipeline.drop_near_duplicates(spark, none, SF).collect() == []
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
