@@ -36,9 +36,18 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i",
 }
 SEPARATORS = ".-_*~'·/\\,"
+#: Breaks of a spelt run: anywhere between its characters.
+SPELT = "anywhere"
+#: What it costs to read a doubled letter once: about as much as a letter less gains.
+ONCE = -2.5
+#: What it costs to end a word within a spelt run.
+BREAK = -4.0
+#: The costs with which a spelt run is read to be scored: no single one finds all words.
+BREAKS = (BREAK, -1.0, -2.0, -3.0, -5.0, -6.0)
 
 _CLASSES = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-_SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$!|+€£(¡].*[^\W\d_]|([^\W\d_])\1\1|^(?:\w{1,2}[.\-_*~'·/\\,]){2,}\w{1,2}$")
+_SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$!|+€£(¡].*[^\W\d_]|([^\W\d_])\1|[^\W\d_][.\-_*~'·/\\,]+[^\W\d_]")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
 _EDGES = re.compile(r"^[^\w@$€£]+|[^\w]+$")
 _PARTS = re.compile(r"[^\w]+")
 
@@ -75,30 +84,50 @@ _TABLE = _class_table()
 _OF = {c: i + 1 for i, c in enumerate(_CLASSES)}
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest word that ``token`` hides."""
+def decode(token: str, model: CharModel, breaks: str = "", cost: float = BREAK) -> str:
+    """The likeliest words that ``token`` hides: one, or several with a space between where ``breaks`` has what may stand for it.
+
+    A separator in ``breaks`` may be a space; if that is ``SPELT``, so may any place between two characters.
+    """
     best = {(0, 0): (0.0, "")}
+    anywhere = breaks == SPELT
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, run = m[1], len(m[0])
         if c in SEPARATORS:
+            if c in breaks:
+                best = _broken(best, model)
             continue
         letters = STANDS_FOR.get(c, c if c.isalpha() else "")
         if not letters:
             continue
+        if anywhere:
+            best = _broken(best, model, cost)
         paths: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
             for letter in letters:
                 k = _OF.get(letter, 63)
                 one = score + float(model.three[a, b, k]) - math.log(len(letters))
-                for state, s, out in (((b, k), one + (0.0, -1.5, -0.7)[min(run, 3) - 1], text + letter), ((k, k), one + float(model.three[b, k, k]) - (0.0 if run == 2 else 0.7), text + letter * 2)):
+                ways = [((b, k), one + (0.0, ONCE, -0.7)[min(run, 3) - 1], text + letter), ((k, k), one + float(model.three[b, k, k]) - (0.0 if run == 2 else 0.7), text + letter * 2)]
+                if anywhere and run > 1:  # the same letter ends a word and begins the next
+                    ways.append(((0, k), one + float(model.three[b, k, 0]) + float(model.three[k, 0, k]) + cost, f"{text}{letter} {letter}"))
+                for state, s, out in ways:
                     if (run > 1 or len(out) == len(text) + 1) and (state not in paths or s > paths[state][0]):
                         paths[state] = (s, out)
         best = paths
-    return max((score + float(model.three[a, b, 0]), text) for (a, b), (score, text) in best.items())[1]
+    return max((score + float(model.three[a, b, 0]), text) for (a, b), (score, text) in best.items())[1].strip()
+
+
+def _broken(best: dict[tuple[int, int], tuple[float, str]], model: CharModel, cost: float = 0.0) -> dict[tuple[int, int], tuple[float, str]]:
+    """The paths, and each with its word ended."""
+    out = dict(best)
+    for (a, b), (score, text) in best.items():
+        if b and (s := score + float(model.three[a, b, 0]) + cost) > out.get((b, 0), (-math.inf, ""))[0]:
+            out[b, 0] = (s, text + " ")
+    return out
 
 
 def words_of(token: str, model: CharModel) -> list[str]:
-    """What a lower-case token says: its word, or the words it hides."""
+    """What a lower-case token says: its word, or the words it hides; then what it shows, where that is words too."""
     if token.isalpha() and not _SUSPECT.search(token):
         return [token]
     core = _EDGES.sub("", token)
@@ -106,42 +135,65 @@ def words_of(token: str, model: CharModel) -> list[str]:
         return []
     if _SUSPECT.search(core):
         parts = [p for p in _PARTS.split(core) if p]
-        plain = [p for p in parts if len(p) > 2]
-        read = [decode(core[i : i + STRETCH], model) for i in range(0, len(core), STRETCH)]
-        return list(dict.fromkeys([w for w in read if w] + plain))
+        plain = [core] if core.isalpha() and not _THRICE.search(core) else [p for p in parts if len(p) > 2 or (p.isalpha() and len(parts) == 2)]
+        read = [w for i in range(0, len(core), STRETCH) for w in decode(core[i : i + STRETCH], model, SEPARATORS).split()]
+        joined = [decode(core[i : i + STRETCH], model) for i in range(0, len(core), STRETCH)] if len(parts) > 1 else []
+        return list(dict.fromkeys([*read, *(w for w in joined if w), *plain]))
     return [p for p in _PARTS.split(core) if p]
 
 
-def spaced(tokens: list[str]) -> list[str]:
-    """Runs of four or more single characters, joined: a word spelt out."""
-    out, run = [], []
-    for t in tokens:
-        if len(t) == 1 or (len(t) == 2 and run and t[1] in ".,!?"):
-            run.append(t[0])
-            continue
-        if len(run) >= 4:
-            out.append("".join(run))
-        run = []
-    if len(run) >= 4:
-        out.append("".join(run))
-    return out
+def _single(token: str) -> str:
+    """The character of a token that is no more than one and punctuation after it; else nothing."""
+    return token[0] if len(token) == 1 or (len(token) == 2 and token[1] in ".,!?" and token[0].isalnum()) else ""
 
 
-def restore(text: str | None, model: CharModel) -> str:
-    """The text with disguised words undone, in lower case, words joined by a space."""
-    tokens = (text or "").lower().split()
-    out: list[str] = []
+def _spelt(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """Where two and more single characters stand in a row, a letter among them."""
     i = 0
     while i < len(tokens):
         j = i
-        while j < len(tokens) and len(tokens[j]) == 1:
+        while j < len(tokens) and _single(tokens[j]):
             j += 1
-        if j - i >= 4:
-            out.append(decode("".join(tokens[i:j]), model))
-            i = j
-        else:
-            out += words_of(tokens[i], model)
-            i += 1
+        if j - i >= 2 and any(_single(t).isalpha() for t in tokens[i:j]):
+            yield i, j
+        i = max(j, i + 1)
+
+
+def _respelt(run: str, model: CharModel, cost: float = BREAK) -> list[str]:
+    """The words of a run of single characters, decoded in stretches that begin where a word does."""
+    out: list[str] = []
+    while len(run) > STRETCH:
+        head = decode(run[:STRETCH], model, SPELT, cost).split()
+        said = head[:-1] if len(head) > 1 else head
+        out += said
+        used = STRETCH if len(head) == 1 else _taken(run[:STRETCH], said, model, cost)
+        run = run[used:]
+    return out + decode(run, model, SPELT, cost).split()
+
+
+def _taken(run: str, said: list[str], model: CharModel, cost: float) -> int:
+    """How many characters of ``run`` say the words ``said``, at least one."""
+    n = len("".join(said))
+    return next((k for k in range(max(1, n), len(run)) if decode(run[:k], model, SPELT, cost).split() == said), max(1, min(n, len(run))))
+
+
+def spaced(tokens: list[str], model: CharModel) -> list[str]:
+    """The words that runs of single characters spell out; of each run as several costs of a break read it, and as one word."""
+    runs = ["".join(map(_single, tokens[i:j])) for i, j in _spelt(tokens)]
+    return [w for r in runs for w in dict.fromkeys([*(w for c in BREAKS for w in _respelt(r, model, c)), decode(r, model)]) if w]
+
+
+def restore(text: str | None, model: CharModel) -> str:
+    """The text with disguised words undone, in lower case, words joined by a space."""
+    tokens = (text or "").lower().split()
+    out: list[str] = []
+    at = 0
+    for i, j in [*_spelt(tokens), (len(tokens), len(tokens))]:
+        for t in tokens[at:i]:
+            words = words_of(t, model)
+            out += words[:1] if t.isalpha() else words
+        out += _respelt("".join(map(_single, tokens[i:j])), model) if j > i else []
+        at = j
     return " ".join(out)
 
 
@@ -161,8 +213,8 @@ def _doc_features(text: str | None, model: CharModel, seen: dict[str, tuple[str,
             f = seen[t] = tuple(x for w in words_of(t, model) for x in features_of(w) if known is None or x in known)
         if f:
             out.update(f)
-    if len(tokens) >= 4 and any(len(t) == 1 for t in distinct):
-        out.update(x for s in spaced(tokens) for x in features_of(decode(s, model)) if known is None or x in known)
+    if any(map(_single, distinct)):
+        out.update(x for w in spaced(tokens, model) for x in features_of(w) if known is None or x in known)
     return out
 
 

@@ -351,6 +351,20 @@ def test_toxicity_undoes_disguises(spark):
     assert toxicity.words_of("plain", chars) == ["plain"] and toxicity.words_of("123456", chars) == ["123456"] and toxicity.words_of("$$$", chars) == []
 
 
+def test_toxicity_undoes_doubled_letters_single_separators_and_spelt_phrases(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    chars = toxicity.CharModel.of(toxicity.char_counts(spark.createDataFrame(docs)))
+    for token, word in (("stuupid", "stupid"), ("iidiot", "idiot"), ("lloser", "loser"), ("id-iot", "idiot"), ("id.iot", "idiot"), ("st_upid", "stupid")):
+        assert word in toxicity.words_of(token, chars), token
+    assert "well" in toxicity.words_of("well-known", chars) and "letter" in toxicity.words_of("letter", chars)
+    for text, words in (("you s t u p i d i d i o t", {"stupid", "idiot"}), ("l o s e r m o r o n", {"loser", "moron"}), ("s t u u p i d", {"stupid"}), ("f a t", {"fat"})):
+        assert words <= set(toxicity.spaced(text.split(), chars)), text
+    assert toxicity.restore("you s t u u p i d", chars) == "you stupid"
+    assert {"stupid", "idiot"} <= toxicity._doc_features("s t u p i d i d i o t", chars, {})
+    assert toxicity.restore("1 2 3 4 and 5", chars) == "1 2 3 4 and 5"
+    assert "".join(toxicity.restore(" ".join("moron" * 40), chars).split()) == "moron" * 40
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (6, None), (7, 7)], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(odd, labels)
