@@ -2,7 +2,7 @@
 
 Documents are cut into passages of words, weighed by TF-IDF over the words of the benchmark. A randomised SVD, whose
 products with the passage matrix are summed over all tasks, gives the latent directions. Passages and benchmark items
-meet in that space by their cosine; where it suffices, the longest common subsequence of their words decides, with a
+meet in that space by their cosine; where it suffices, or where they share words in a row, the longest common subsequence of their words decides, with a
 check that the item's last words, its answer, are there too. Every pass streams over the documents: nothing but
 sums over the benchmark's words goes to the driver, and no document is shuffled.
 """
@@ -32,6 +32,8 @@ RANK = 128
 ITEMS_WEIGH = 0.3
 #: A word that stands as near as this before counts once.
 REPEAT = 4
+#: Words in a row that a text and an item share, and how many such places make a candidate beside the cosine.
+IN_A_ROW, PLACES = 3, 2
 
 
 # Fixed value: what is no part of a word at its ends.
@@ -185,15 +187,69 @@ class _Searcher:
         self.limits, self.table = limits, latent.table()[:, :-1].copy()
         self.rows = np.empty((SEARCHED * BLOCK + 64 * BLOCK, self.table.shape[1]), np.float32)
         index = {w: i + 1 for i, w in enumerate(latent.words)}
-        self.items = [(i, np.array([index[x] for x in w[k : k + SEGMENT]])) for i, w in items for k in range(0, max(1, len(w) - BLOCK), SEGMENT)]
+        self.whole = [(i, np.array([index[x] for x in w])) for i, w in items]
+        self.items = [(i, k, w[k : k + SEGMENT]) for i, (_, w) in enumerate(self.whole) for k in range(0, max(1, len(w) - BLOCK), SEGMENT)]
+        self.base = len(latent.words) + 1
+        self.rows_of = self._rows()
         scale: dict[int, list[int]] = {}
-        for at, (_, w) in enumerate(self.items):
+        for at, (_, _, w) in enumerate(self.items):
             scale.setdefault(-(-len(w) // BLOCK) + 1, []).append(at)
         self.scales = []
         for size, ats in sorted(scale.items()):
-            y = np.stack([self.table[_once(self.items[a][1])].sum(axis=0) for a in ats])
+            y = np.stack([self.table[_once(self.items[a][2])].sum(axis=0) for a in ats])
             self.scales.append((size, ats, (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)).T))
 
+    def _keys(self, x: np.ndarray, size: int) -> np.ndarray:
+        """A number for each ``size`` words in a row."""
+        n = max(0, len(x) - size + 1)
+        out = np.zeros(n, np.uint64)
+        for i in range(size):
+            out = out * np.uint64(self.base) + x[i : i + n].astype(np.uint64)
+        return out
+
+    def _rows(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By the number of words in a row: the sorted distinct keys, where each begins among the segments' places, those segments, and the places."""
+        out = []
+        for size in range(1, IN_A_ROW + 1):
+            ats = [a for a, (_, _, w) in enumerate(self.items) if min(len(w), IN_A_ROW) == size]
+            if not ats:
+                continue
+            keys = [self._keys(self.items[a][2], size) for a in ats]
+            seg, place, key = np.repeat(ats, [len(k) for k in keys]), np.concatenate([np.arange(len(k)) for k in keys]), np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            own, begin = np.unique(key[order], return_index=True)
+            out.append((size, own, np.append(begin, len(key)), seg[order], place[order]))
+        return out
+
+    def _shared(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(text, segment, first block) where words in a row are shared at PLACES places, about as far apart in both."""
+        lengths = np.array([len(d) for d in docs], np.int64)
+        x = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
+        first = np.cumsum(lengths) - lengths
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        out = []
+        for size, own, begin, seg, place in self.rows_of:
+            n = max(0, len(x) - size + 1)
+            fits = doc[:n] == doc[size - 1 :][:n]
+            for i in range(size):
+                fits &= x[i : i + n] > 0
+            at = np.flatnonzero(fits)
+            key = self._keys(x, size)[at]
+            k = np.minimum(np.searchsorted(own, key), len(own) - 1)
+            hit = own[k] == key
+            at, k = at[hit], k[hit]
+            times = begin[k + 1] - begin[k]
+            which = np.repeat(begin[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at, s = np.repeat(at, times), seg[which]
+            block = np.maximum(at - first[doc[at]] - place[which], 0) // BLOCK
+            # a hit counts for its block and the one before: words may be missing or added in between
+            rows = np.column_stack([np.append(doc[at], doc[at]), np.append(s, s), np.append(block, block - 1), np.append(place[which], place[which])])
+            rows = np.unique(rows[rows[:, 2] >= 0], axis=0)
+            places, n_places = np.unique(rows[:, :3], axis=0, return_counts=True)
+            most = np.bincount(seg, minlength=len(self.items))
+            out += map(tuple, places[n_places >= np.minimum(PLACES, most[places[:, 1]])].tolist())
+        return out
+
     def batch(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float, bool, int]]:
         """(text, item, cosine, share of the item's words in order, answer found, first word) where an item is found."""
         top = self.scales[-1][0]
@@ -203,6 +259,11 @@ class _Searcher:
         for d, end, n in zip(docs, ends, n_blocks):
             x[(end - n) * BLOCK : (end - n) * BLOCK + len(d)] = _once(d)
         out = []
+        for d, at, block in self._shared(docs):
+            w = self.items[at][2]
+            size = (-(-len(w) // BLOCK) + 1) * BLOCK
+            y, q = (self.table[_once(v)].sum(axis=0) for v in (docs[d][block * BLOCK : block * BLOCK + size], w))
+            out.append((d, at, float(y @ q / max(np.linalg.norm(y) * np.linalg.norm(q), 1e-9)), block * BLOCK, size))
         for lo in range(0, len(x) // BLOCK, SEARCHED):
             cut = x[lo * BLOCK : (lo + SEARCHED + top - 1) * BLOCK]
             blocks = np.take(self.table, cut, axis=0, out=self.rows[: len(cut)], mode="clip").reshape(-1, BLOCK, self.table.shape[1]).sum(axis=1)
@@ -222,11 +283,13 @@ class _Searcher:
 
     def _verified(self, docs: list[np.ndarray], candidates: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, float, bool, int]]:
         best: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-        lim = self.limits
+        lim, tried = self.limits, set()
         for d, at, cos, start, size in sorted(candidates, key=lambda c: -c[2]):
-            if (d, at) in best and best[d, at][1] >= 0.999:
+            item, offset, segment = self.items[at]
+            if ((d, item) in best and best[d, item][1] >= 0.999) or (d, at, start) in tried:
                 continue
-            numbers = self.items[at][1].tolist()
+            tried.add((d, at, start))
+            numbers = segment.tolist()
             region = docs[d][max(0, start - BLOCK) : start + size + BLOCK]
             region = region.tolist()
             if len(set(numbers).intersection(region)) < 0.5 * lim.lcs_with_answer * len(set(numbers)):
@@ -237,9 +300,9 @@ class _Searcher:
             tail = numbers[-min(lim.answer_words, len(numbers)) :]
             answer = lcs(tail, region) >= lim.answer * len(tail)
             if got >= lim.lcs or answer:
-                if (d, at) not in best or got > best[d, at][1]:
-                    best[d, at] = (cos, got, answer, start)
-        return [(d, self.items[at][0], *v) for (d, at), v in sorted(best.items())]
+                if (d, item) not in best or got > best[d, item][1]:
+                    best[d, item] = (cos, got, answer, start)
+        return [(d, self.whole[item][0], *v) for (d, item), v in sorted(best.items())]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, limits: Thresholds = Thresholds(), rank: int = RANK) -> DataFrame:

@@ -493,6 +493,23 @@ def test_decontamination_odd(spark, odd, none):
     assert decontam.lcs([1, 2, 3, 2], [2, 1, 3, 9, 2]) == 3 and decontam.lcs([], [1]) == 0
 
 
+def search(items, texts, words=None):
+    """What a searcher finds whose latent space says nothing: only shared words in a row give candidates."""
+    words = words or sorted({w for _, x in items for w in x})
+    latent = decontam.Latent(words, np.ones(len(words) + 1), 1.0, np.zeros((len(words) + 1, 2)))
+    known = {w: i + 1 for i, w in enumerate(words)}
+    return decontam._Searcher(latent, items, decontam.Thresholds()).batch([np.array([known.get(w, 0) for w in t], np.int64) for t in texts])
+
+
+def test_decontamination_finds_verbatim_items_without_the_cosine():
+    r = random.Random(3)
+    items = [(i, [f"v{r.randrange(900)}" for _ in range(r.randint(1, 60))]) for i in range(300)]
+    filler = lambda: [f"v{r.randrange(900)}" if r.random() < 0.5 else "-" for _ in range(r.randint(0, 200))]
+    texts = [filler() + w + filler() for _, w in items]
+    got = {(d, i) for d, i, *_ in search(items, texts)}
+    assert {(i, i) for i, _ in items} <= got and all(decontam.lcs(items[i][1], texts[d]) >= 0.6 * len(items[i][1]) for d, i in got)
+
+
 def call(i, name, args):
     return json.dumps({"tool_calls": [{"id": i, "type": "function", "function": {"name": name, "arguments": json.dumps(args) if isinstance(args, dict) else args}}]})
 
