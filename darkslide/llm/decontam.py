@@ -188,7 +188,8 @@ class _Searcher:
         self.rows = np.empty((SEARCHED * BLOCK + 64 * BLOCK, self.table.shape[1]), np.float32)
         index = {w: i + 1 for i, w in enumerate(latent.words)}
         self.whole = [(i, np.array([index[x] for x in w])) for i, w in items]
-        self.items = [(i, k, w[k : k + SEGMENT]) for i, (_, w) in enumerate(self.whole) for k in range(0, max(1, len(w) - BLOCK), SEGMENT)]
+        # (item, first word, words); the last segment ends with the item, so that every word is searched for
+        self.items = [(i, k, w[k : k + SEGMENT]) for i, (_, w) in enumerate(self.whole) for k in sorted({*range(0, max(1, len(w) - SEGMENT), SEGMENT), max(0, len(w) - SEGMENT)})]
         self.base = len(latent.words) + 1
         self.rows_of = self._rows()
         scale: dict[int, list[int]] = {}
@@ -289,8 +290,10 @@ class _Searcher:
             if ((d, item) in best and best[d, item][1] >= 0.999) or (d, at, start) in tried:
                 continue
             tried.add((d, at, start))
-            numbers = segment.tolist()
-            region = docs[d][max(0, start - BLOCK) : start + size + BLOCK]
+            numbers = self.whole[item][1].tolist()
+            # the whole item around the segment found, with a quarter more for words that were added
+            after = len(numbers) - offset - len(segment)
+            region = docs[d][max(0, start - offset - offset // 4 - BLOCK) : start + size + after + after // 4 + BLOCK]
             region = region.tolist()
             if len(set(numbers).intersection(region)) < 0.5 * lim.lcs_with_answer * len(set(numbers)):
                 continue

@@ -510,6 +510,16 @@ def test_decontamination_finds_verbatim_items_without_the_cosine():
     assert {(i, i) for i, _ in items} <= got and all(decontam.lcs(items[i][1], texts[d]) >= 0.6 * len(items[i][1]) for d, i in got)
 
 
+def test_decontamination_of_long_items():
+    for n in (64, 65, 70, 80, 100, 129, 140, 200):
+        words = [f"v{i}" for i in range(n)]
+        filler = ["-"] * 300
+        hit = search([(1, words)], [filler + words + filler, filler + words[:64] + filler if n > 107 else [], filler + [w for i, w in enumerate(words) if i % 10 < 7 or i >= n - 6] + filler, filler + [w for i, w in enumerate(words) if i % 10 < 7 and i < n - 6] + filler])
+        found = {d: h for d, *h in hit}
+        assert set(found) == {0, 2}, n  # neither a segment alone nor a paraphrase without the answer
+        assert found[0][2] == 1.0 and found[2][3]
+
+
 def call(i, name, args):
     return json.dumps({"tool_calls": [{"id": i, "type": "function", "function": {"name": name, "arguments": json.dumps(args) if isinstance(args, dict) else args}}]})
 
