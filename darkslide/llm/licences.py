@@ -191,19 +191,40 @@ def fit_licences(made: int = MADE, seed: int = SEED) -> LicenceModel:
     return LicenceModel(index, w.astype(np.float64), scale)
 
 
-def compare(words: list[str], family: str) -> float:
-    """The largest share of one of the family's templates that the paragraph has in order and close together."""
-    best = 0.0
+def aligned(words: list[str], family: str, at_least: float = 0.0) -> tuple[float, int, int]:
+    """The largest share of one of the family's templates that the paragraph has in order and close together, above ``at_least``; the first word there, and the one after the last."""
+    best, found = at_least, (0, 0)
     for t in _TEMPLATE_WORDS[family]:
-        wanted = set(t)
+        wanted, span = set(t), 2 * len(t)
         at = [i for i, w in enumerate(words) if w in wanted]
-        span = 2 * len(t)
-        for lo in range(0, len(at), max(1, len(t) // 2)):  # windows of twice the template that start at its words
-            cut = words[at[lo] : at[lo] + span]
-            best = max(best, lcs(t, cut) / len(t))
-            if best == 1:
-                return best
-    return best
+        hi = 0
+        for k, lo in enumerate(at):  # a window of twice the template starts at each of its words
+            while hi < len(at) and at[hi] < lo + span:
+                hi += 1
+            if hi - k <= best * len(t):  # it has too few of them
+                continue
+            got = lcs(t, words[lo : lo + span]) / len(t)
+            if got > best:
+                end = min(at[hi - 1] + 1, lo + span)
+                best, found = got, (lo, end)
+                if best == 1:
+                    break
+        if best == 1:
+            break
+    lo, hi = found
+    if best > at_least:  # without words that add nothing at its end
+        t = max(_TEMPLATE_WORDS[family], key=lambda t: lcs(t, words[lo:hi]) / len(t))
+        while hi - lo > 1 and lcs(t, words[lo : hi - 1]) / len(t) >= best:
+            hi -= 1
+        while hi - lo > 1 and lcs(t, words[lo + 1 : hi]) / len(t) >= best:
+            lo += 1
+        return best, lo, hi
+    return 0.0, 0, 0
+
+
+def compare(words: list[str], family: str) -> float:
+    """The largest share of one of the family's templates that the paragraph has in order and close together."""
+    return aligned(words, family)[0]
 
 
 def scan(text: str | None, model: LicenceModel, seen: dict) -> list[tuple[int, str, float, float, str]]:

@@ -463,6 +463,15 @@ def test_licence_families(odd, none):
     assert licences.find_licences(odd, model).count() == 0 and licences.find_licences(none, model).count() == 0
 
 
+def test_licences_after_long_lines():
+    r = random.Random(2)
+    mit, bsd = licences.TEMPLATES["mit"][2], licences.TEMPLATES["bsd"][0]
+    for text, family in ((mit, "mit"), (bsd, "bsd")):
+        for n in range(0, 400, 7):
+            before = [r.choice(("the", "of", "software", "in")) if r.random() < 0.05 else f"mot{r.randrange(99)}" for _ in range(n)]
+            assert licences.compare([*before, *licences.words_of(text), "fin"], family) == 1.0
+
+
 def test_decontamination(spark):
     docs, bench = documents(), pd.read_parquet(f"{SF}/benchmark.parquet")
     r = random.Random(8)
