@@ -134,6 +134,14 @@ class LicenceModel(NamedTuple):
         z = self.weights[:, at].sum(axis=1) + self.weights[:, -1]
         return 1 / (1 + np.exp(-np.clip(self.scale[:, 0] * z + self.scale[:, 1], -40, 40)))
 
+    def possible(self, known: frozenset[str], seen: dict) -> np.ndarray:
+        """Families that some order of ``known`` words could be sure of: a bound, by all their grams that speak for one."""
+        if (out := seen.get(known)) is None:
+            at = [i for g, i in self.index.items() if known.issuperset(g.split())]
+            z = np.maximum(self.weights[:, at], 0).sum(axis=1) + self.weights[:, -1]
+            out = seen[known] = (self.scale[:, 0] <= 0) | (1 / (1 + np.exp(-np.clip(self.scale[:, 0] * z + self.scale[:, 1], -40, 40))) >= SURE)
+        return out
+
 
 def _made(r: random.Random, n: int) -> list[tuple[list[str], int]]:
     """Paragraphs of each family, and as many times two without licence; -1 is unknown."""
@@ -228,29 +236,79 @@ def compare(words: list[str], family: str) -> float:
 
 
 def scan(text: str | None, model: LicenceModel, seen: dict) -> list[tuple[int, str, float, float, str]]:
-    """(paragraph, family, probability, similarity, paragraph's text) of each paragraph that is no plain unknown."""
-    out = []
-    for n, paragraph in enumerate((text or "").split("\n")):
-        lower = paragraph.lower()
-        words = _WORD.findall(lower)
-        if _KNOWN.isdisjoint(words):  # no gram of a template: the score of nothing, which is unknown
-            continue
-        key = tuple(w if w in _KNOWN else "" for w in words)
+    """(paragraph, family, probability, similarity, notice's text) of each line, or stretch of lines, that has a licence.
+
+    Every family that is sure enough is told. A notice wrapped over lines without an empty one between them is
+    told once, at its first line, in place of its lines' own weaker rows of that family.
+    """
+    lines = (text or "").split("\n")
+    words = [_WORD.findall(x.lower()) for x in lines]
+
+    def judged(said: list[str]) -> np.ndarray:
+        key = tuple(w if w in _KNOWN else "" for w in said)
         key = tuple(k for i, k in enumerate(key) if k or (i and key[i - 1]))
         if (p := seen.get(key)) is None:
             if len(seen) > 200_000:
                 seen.clear()
-            p = seen[key] = model.probabilities(words)
-        f = int(p.argmax())
-        if p[f] >= SURE:
-            out.append((n, FAMILIES[f], float(p[f]), compare(words, FAMILIES[f]), paragraph))
-    return out
+            p = seen[key] = model.probabilities(said)
+        return p
+
+    rows: dict[tuple[int, str], tuple[float, float, str]] = {}
+    for n, said in enumerate(words):
+        if _KNOWN.isdisjoint(said):  # no gram of a template: the score of nothing, which is unknown
+            continue
+        p = judged(said)
+        for f in np.flatnonzero(p >= SURE):
+            rows[n, FAMILIES[f]] = (float(p[f]), compare(said, FAMILIES[f]), lines[n])
+    first = 0
+    for end in [*(n for n, x in enumerate(lines) if not x.strip()), len(lines)]:
+        if end - first > 1:
+            can = model.possible(_KNOWN.intersection(w for n in range(first, end) for w in words[n]), seen)
+            if can.any():
+                _wrapped(range(first, end), lines, words, judged, rows, can)
+        first = end + 1
+    return [(n, f, *v) for (n, f), v in sorted(rows.items(), key=lambda r: (r[0][0], -r[1][0], r[0][1]))]
+
+
+def _wrapped(block: range, lines: list[str], words: list[list[str]], judged, rows: dict[tuple[int, str], tuple[float, float, str]], can: np.ndarray) -> None:
+    """Adds to ``rows`` the notices that go over lines of a block."""
+    line = [n for n in block for _ in words[n]]
+    said = [w for n in block for w in words[n]]
+    have = set(said)
+    p = None
+    for f, family in enumerate(FAMILIES):
+        # words of which a template has enough in the block
+        if can[f] and any(len(have.intersection(t)) >= CONFIRMS * len(set(t)) - (len(t) - len(set(t))) for t in _TEMPLATE_WORDS[family]):
+            todo = [(0, len(said))]
+            while todo:
+                lo, hi = todo.pop()
+                got, a, b = aligned(said[lo:hi], family, CONFIRMS - 1e-9)
+                if not got:
+                    continue
+                a, b = a + lo, b + lo
+                todo += [(lo, a), (b, hi)]  # other notices before and after it
+                span = range(line[a], line[b - 1] + 1)
+                own = [n for n in span if (n, family) in rows]
+                if len(span) == 1 or max((rows[n, family][1] for n in own), default=0.0) >= got:
+                    continue
+                sure = float(max(judged(said[a:b])[f], judged([w for n in span for w in words[n]])[f]))
+                if sure >= SURE:
+                    for n in own:
+                        del rows[n, family]
+                    rows[span[0], family] = (sure, got, "\n".join(lines[n] for n in span))
+    if not any((n, f) in rows for n in block for f in FAMILIES):  # sure as a whole alone: told at its best place
+        p = judged(said) if not _KNOWN.isdisjoint(said) else np.zeros(len(FAMILIES))
+        for f in np.flatnonzero(p >= SURE):
+            got, a, b = aligned(said, FAMILIES[f])
+            if got:
+                rows[line[a], FAMILIES[f]] = (float(p[f]), got, "\n".join(lines[n] for n in range(line[a], line[b - 1] + 1)))
 
 
 def find_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed, notice) for each paragraph with a licence.
 
-    Paragraphs are lines, numbered from 0 as they stand; all of a text's are judged, unknown ones are not returned. Null
+    Paragraphs are lines, numbered from 0 as they stand, or the lines from there on that a wrapped notice takes; each
+    family that suffices has a row. All of a text's are judged, unknown ones are not returned. Null
     and empty texts have none, a null doc_id stays null, repeated rows count each.
     """
     tuned(docs)

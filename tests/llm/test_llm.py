@@ -472,6 +472,17 @@ def test_licences_after_long_lines():
             assert licences.compare([*before, *licences.words_of(text), "fin"], family) == 1.0
 
 
+def test_licences_wrapped_and_dual():
+    model = licences.fit_licences()
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    found = licences.scan(f"intro\n\nfirst\n{bsd}\nlast\n\nend", model, {})
+    assert [(f[0], f[1], f[3], f[4]) for f in found] == [(3, "bsd", 1.0, bsd)]
+    twice = licences.scan(f"{bsd}\nx\n{bsd}", model, {})
+    assert [(f[0], f[1], f[3]) for f in twice] == [(0, "bsd", 1.0), (3, "bsd", 1.0)]
+    dual = licences.scan("x\nLicensed under the MIT license or the Apache License, Version 2.0", model, {})
+    assert {(f[0], f[1], f[3]) for f in dual} == {(1, "mit", 1.0), (1, "apache-2.0", 1.0)}
+
+
 def test_decontamination(spark):
     docs, bench = documents(), pd.read_parquet(f"{SF}/benchmark.parquet")
     r = random.Random(8)
