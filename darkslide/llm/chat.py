@@ -2,7 +2,7 @@
 
 A call stands in an assistant's turn, a result in a tool's turn, both as JSON. They are matched by a hash join on
 conversation and identifier. Calls are ordered after the calls whose results their arguments refer to, by the length
-of the longest chain of references; then by turn. Arguments are validated against the tool's JSON schema. Every turn,
+of the longest chain of references; then by turn. A call's place is in no earlier turn than those of its chain. Arguments are validated against the tool's JSON schema. Every turn,
 call and result becomes one message in canonical JSON (sorted keys, no blanks), with a key that sorts a conversation's
 messages, so that no task has to hold a conversation.
 """
@@ -177,29 +177,31 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, round
     results = written(parts.where("kind = 'result' and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(place).alias("got")))
     needs = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).where("ref <> call_id").distinct()
     needs = written(needs.join(calls.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi"))
-    # Kahn's order, a level in each round: calls whose references all have a level get the next
-    levels = written(calls.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")))
+    # Kahn's order, a level in each round: calls whose references all have a level get the next. A call's place is the largest turn of its chain
+    own = calls.select("conv_id", "call_id", F.col("at.t").alias("own"))
+    levels = written(own.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.col("own").alias("place")))
     level, left = 0, needs
     while level < rounds and not left.isEmpty():
         done = levels.where(F.col("level") == level).select("conv_id", F.col("call_id").alias("ref"))
         rest = written(left.join(done, ["conv_id", "ref"], "left_anti"))
         level += 1
-        free = left.select("conv_id", "call_id").distinct().join(rest, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level"))
-        more = written(levels.unionByName(free))
+        free = left.select("conv_id", "call_id").distinct().join(rest, ["conv_id", "call_id"], "left_anti")
+        before = needs.join(free, ["conv_id", "call_id"], "left_semi").join(levels.select("conv_id", F.col("call_id").alias("ref"), "place"), ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.max("place").alias("before"))
+        more = written(levels.unionByName(before.join(own, ["conv_id", "call_id"]).select("conv_id", "call_id", F.lit(level).alias("level"), F.greatest("own", "before").alias("place"))))
         stuck = more.where(F.col("level") == level).isEmpty()
-        forget(levels, left)
+        forget(levels, *([left] if left is not needs else []))
         levels, left = more, rest
-        if stuck:  # what is left stands in cycles, or behind them
+        if stuck:
             break
-    linked = written(calls.join(levels, ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "at", "level", "got"))
+    linked = written(calls.join(levels, ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "at", "level", F.coalesce("place", "at.t").alias("place"), "got"))
     tools, rest = parts.where("kind <> 'message' and call_id is not null"), parts.where("kind = 'message' or call_id is null")
     tools = tools.join(linked, ["conv_id", "call_id"], "left")
     mine = F.coalesce("turn", F.lit(-(2**62)))
-    key = lambda turn, lvl, part, kind: F.struct(turn.alias("turn"), lvl.alias("level"), part.alias("part"), kind.alias("kind"), mine.alias("own_turn"), F.col("part").alias("own_part"))
+    key = lambda turn, lvl, from_turn, part, kind: F.struct(turn.alias("turn"), lvl.alias("level"), from_turn.alias("from_turn"), part.alias("part"), kind.alias("kind"), mine.alias("own_turn"), F.col("part").alias("own_part"))
     late = F.coalesce("level", F.lit(2**31 - 1))
-    tools = tools.withColumn("order_key", F.when(F.col("at").isNull(), key(mine, F.lit(0), F.col("part"), F.lit(1))).otherwise(key(F.col("at.t"), late, F.col("at.p"), F.when(F.col("kind") == "call", 0).otherwise(1))))
+    tools = tools.withColumn("order_key", F.when(F.col("at").isNull(), key(mine, F.lit(0), mine, F.col("part"), F.lit(1))).otherwise(key(F.col("place"), late, F.col("at.t"), F.col("at.p"), F.when(F.col("kind") == "call", 0).otherwise(1))))
     tools = tools.withColumn("linked", F.when(F.col("kind") == "call", F.col("got").isNotNull() & (F.col("at") == place)).otherwise(F.col("at").isNotNull() & (F.col("got") == place)))
-    plain = rest.select("*", F.lit(None).cast("int").alias("level"), key(mine, F.lit(0), F.col("part"), F.lit(0)).alias("order_key"), F.when(F.col("kind") != "message", F.lit(False)).alias("linked"))
+    plain = rest.select("*", F.lit(None).cast("int").alias("level"), key(mine, F.lit(0), mine, F.col("part"), F.lit(0)).alias("order_key"), F.when(F.col("kind") != "message", F.lit(False)).alias("linked"))
     columns = ["conv_id", "turn", "part", "kind", "call_id", "name", "level", "order_key", "linked", "valid", "errors", "message"]
-    text_key = F.format_string("%020d:%010d:%06d:%d:%020d:%06d", F.col("order_key.turn") + 2**62, "order_key.level", "order_key.part", "order_key.kind", F.col("order_key.own_turn") + 2**62, "order_key.own_part")
+    text_key = F.format_string("%020d:%010d:%020d:%06d:%d:%020d:%06d", F.col("order_key.turn") + 2**62, "order_key.level", F.col("order_key.from_turn") + 2**62, "order_key.part", "order_key.kind", F.col("order_key.own_turn") + 2**62, "order_key.own_part")
     return tools.select(*columns).unionByName(plain.select(*columns)).withColumn("order_key", text_key)

@@ -562,6 +562,14 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id string, turn long, role string, text string")).collect() == []
 
 
+def test_chat_order_across_turns(spark):
+    calls = {"b": (1, "$a"), "a": (2, "-"), "c": (0, "$b"), "d": (4, "$a"), "e": (3, "-"), "x": (5, "$y $a"), "y": (6, "$x")}
+    rows = [("c", t, "assistant", call(i, "search", {"query": q})) for i, (t, q) in calls.items()] + [("c", 7, "tool", json.dumps({"tool_call_id": "a", "content": 1}))]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    order = [(r["kind"], r["call_id"]) for r in sorted(got, key=lambda r: r["order_key"])]
+    assert order == [("call", "a"), ("result", "a"), *(("call", i) for i in "bcedxy")]
+
+
 def test_chat_table(spark):
     turns = pd.read_parquet(f"{SF}/conversations.parquet")
     got = {(r["conv_id"], r["turn"]): r for r in queries.op8_chat(spark, SF).collect()}
