@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, tuned, written
+from .common import forget, grouped, tuned, written
 
 _REFERENCE = re.compile(r"\$\{?([A-Za-z0-9_\-]+)")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -135,6 +135,40 @@ def _references(args: object) -> list[str]:
     return _REFERENCE.findall(args) if isinstance(args, str) else []
 
 
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels and places of the calls of each conversation, out of rows (conv_id, call_id, ref, own, least, from_turn, ref_level, ref_place).
+
+    ``least`` and ``from_turn`` are what references with a level ask for; ``ref`` has none yet, or ``ref_level``. Calls
+    in cycles or behind them get no level.
+    """
+    for t, starts in grouped(batches, ["conv_id"]):
+        conv, call, ref, own, least, turn, ref_level, ref_place = (t.column(c).to_pylist() for c in ("conv_id", "call_id", "ref", "own", "least", "from_turn", "ref_level", "ref_place"))
+        out: list[tuple] = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            waits: dict[str, int] = {}
+            users: dict[str, list[str]] = {}
+            at: dict[str, tuple[int, int]] = {}
+            for i in range(lo, hi):
+                waits[call[i]] = waits.get(call[i], 0) + 1
+                users.setdefault(ref[i], []).append(call[i])
+                at[call[i]] = (least[i], max(own[i], turn[i]))
+            free = [c for c in users if c not in waits]  # their own references all have a level
+            for i in range(lo, hi):
+                if ref[i] not in waits:
+                    at[ref[i]] = (ref_level[i], ref_place[i])
+            done = set()
+            while free:
+                c = free.pop()
+                done.add(c)
+                for u in users.get(c, ()):
+                    at[u] = (max(at[u][0], at[c][0] + 1), max(at[u][1], at[c][1]))
+                    waits[u] -= 1
+                    if not waits[u]:
+                        free.append(u)
+            out += [(conv[lo], c, at[c][0] if c in done else None, at[c][1]) for c in waits]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["conv_id", "call_id", "level", "place"])
+
+
 def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, rounds: int = 64) -> DataFrame:
     """One row for each message of ``turns`` (conv_id, turn, role, text), in a defined order of each conversation.
 
@@ -143,7 +177,8 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, round
     a result a call; null for messages), valid and errors (of a call's arguments; of a tool without schema: valid), and
     message (canonical JSON). A result counts for the first call of its identifier and of several the first by turn
     is linked. ``order_key`` puts a result right after its call, or at its own turn if it has none. Null texts are empty
-    messages, null roles and turns stay null, turns of null come first; repeated rows give repeated messages.
+    messages, null roles and turns stay null, turns of null come first; repeated rows give repeated messages. Levels
+    beyond ``rounds`` come from one pass over a conversation's remaining references (identifiers alone) in a task.
     """
     tuned(turns)
     known = schemas or {}
@@ -193,6 +228,13 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, round
         levels, left = more, rest
         if stuck:
             break
+    if not left.isEmpty():  # longer chains, and cycles: the references that are left of a conversation in one pass
+        before = needs.join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").join(levels.select("conv_id", F.col("call_id").alias("ref"), "level", "place"), ["conv_id", "ref"])
+        before = before.groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("least"), F.max("place").alias("from_turn"))
+        chains = left.join(own, ["conv_id", "call_id"]).join(before, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "ref", "own", F.coalesce("least", F.lit(0)).cast("int").alias("least"), F.coalesce("from_turn", "own").alias("from_turn"))
+        chains = chains.join(levels.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("ref_level"), F.col("place").alias("ref_place")), ["conv_id", "ref"], "left").select(*chains.columns, "ref_level", "ref_place")
+        late = chains.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_chained, "conv_id string, call_id string, level int, place long")
+        levels = written(levels.unionByName(late))
     linked = written(calls.join(levels, ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "at", "level", F.coalesce("place", "at.t").alias("place"), "got"))
     tools, rest = parts.where("kind <> 'message' and call_id is not null"), parts.where("kind = 'message' or call_id is null")
     tools = tools.join(linked, ["conv_id", "call_id"], "left")

@@ -570,6 +570,16 @@ def test_chat_order_across_turns(spark):
     assert order == [("call", "a"), ("result", "a"), *(("call", i) for i in "bcedxy")]
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_chat_long_chains(spark, rounds):
+    n = 70
+    rows = [("c", (i * 37) % n, "assistant", call(f"k{i}", "search", {"query": f"$k{i - 1} $k{i // 2}" if i else "-"})) for i in range(n)]
+    rows += [("c", 99, "assistant", call("x", "search", {"query": "$y"})), ("c", 98, "assistant", call("y", "search", {"query": "$x"})), ("c", 97, "assistant", call("z", "search", {"query": "$y"}))]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"), rounds=rounds).collect()
+    assert {r["call_id"]: r["level"] for r in got} == {**{f"k{i}": i for i in range(n)}, "x": None, "y": None, "z": None}
+    assert [r["call_id"] for r in sorted(got, key=lambda r: r["order_key"])][:n] == [f"k{i}" for i in range(n)]
+
+
 def test_chat_table(spark):
     turns = pd.read_parquet(f"{SF}/conversations.parquet")
     got = {(r["conv_id"], r["turn"]): r for r in queries.op8_chat(spark, SF).collect()}
