@@ -21,22 +21,52 @@ from pyspark.sql import functions as F
 from .common import forget, grouped, tuned, written
 
 _REFERENCE = re.compile(r"\$\{?([A-Za-z0-9_\-]+)")
+_LONE = re.compile("[\ud800-\udfff]")
+#: Levels that are found by joins at least, and references of a conversation that one task then takes at most.
+ROUNDS, ONE_TASK = 8, 1_000_000
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def canonical(value) -> str:
-    """JSON with sorted keys and no blanks; whole floats as integers, NaN and infinities as null."""
+class _Ready(str):
+    """Text of JSON that is written as it is."""
+
 
-    def plain(v):
-        if isinstance(v, dict):
-            return {str(k): plain(x) for k, x in v.items()}
-        if isinstance(v, (list, tuple)):
-            return [plain(x) for x in v]
-        if isinstance(v, float):
-            return None if not math.isfinite(v) else int(v) if v.is_integer() and abs(v) < 2**53 else v
-        return v
+def _quoted(text: str) -> str:
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+def _scalar(v) -> str:
+    if isinstance(v, str):
+        return _quoted(v)
+    if isinstance(v, float):
+        return "null" if not math.isfinite(v) else str(int(v)) if v.is_integer() and abs(v) < 2**53 else repr(v)
+    return "null" if v is None else "true" if v is True else "false" if v is False else str(v)
+
+
+def canonical(value) -> str:
+    """JSON with sorted keys and no blanks; whole floats as integers, NaN and infinities as null, lone surrogates escaped.
+
+    Values may be nested to any depth: what is still to write stands on a list, not on the call stack.
+    """
+    out: list[str] = []
+    todo: list = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Ready):
+            out.append(v)
+        elif isinstance(v, dict):
+            out.append("{")
+            todo.append(_Ready("}"))
+            for i, k in reversed(list(enumerate(sorted(v, key=str)))):
+                todo += [v[k], _Ready("," * (i > 0) + _quoted(str(k)) + ":")]
+        elif isinstance(v, (list, tuple)):
+            out.append("[")
+            todo.append(_Ready("]"))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [v[i], _Ready("," * (i > 0))]
+        else:
+            out.append(_scalar(v))
+    return "".join(out)
 
 
 def errors_of(value, schema: dict, at: str = "$") -> list[str]:
@@ -48,7 +78,7 @@ def errors_of(value, schema: dict, at: str = "$") -> list[str]:
     if kinds is not None:
         kinds = kinds if isinstance(kinds, list) else [kinds]
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        fits = any((k == "number" and number) or (k == "integer" and number and float(value).is_integer()) or (k in _TYPES and isinstance(value, _TYPES[k])) for k in kinds)
+        fits = any((k == "number" and number) or (k == "integer" and number and (isinstance(value, int) or value.is_integer())) or (k in _TYPES and isinstance(value, _TYPES[k])) for k in kinds)
         if not fits:
             return [f"{at}: not {' or '.join(map(str, kinds))}"]
     if "enum" in schema and all(canonical(value) != canonical(x) for x in schema["enum"]):
@@ -100,7 +130,12 @@ def _parsed(text: str) -> object | None:
 
 def _identifier(x: dict, *names: str) -> str | None:
     v = next((x[n] for n in names if x.get(n) is not None), None)
-    return v if isinstance(v, str) else canonical(v) if v is not None else None
+    return _valid(v) if isinstance(v, str) else canonical(v) if v is not None else None
+
+
+def _valid(text: str) -> str:
+    """Text that UTF-8 can hold: a lone surrogate as its escape."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def read_turn(role: str | None, text: str | None) -> list[dict]:
@@ -118,7 +153,7 @@ def read_turn(role: str | None, text: str | None) -> list[dict]:
                     args = json.loads(args)
                 except (ValueError, RecursionError):
                     pass
-            out.append({"kind": "call", "id": _identifier(c, "id", "call_id") if isinstance(c, dict) else None, "name": f.get("name") if isinstance(f.get("name"), str) else None, "args": args})
+            out.append({"kind": "call", "id": _identifier(c, "id", "call_id") if isinstance(c, dict) else None, "name": _valid(f["name"]) if isinstance(f.get("name"), str) else None, "args": args})
         return out
     if isinstance(value, dict) and (i := _identifier(value, "tool_call_id", "call_id")) is not None:
         content = value.get("content", value.get("result"))
@@ -126,13 +161,17 @@ def read_turn(role: str | None, text: str | None) -> list[dict]:
     return [{"kind": "message", "content": said}]
 
 
-def _references(args: object) -> list[str]:
+def _references(args: object) -> set[str]:
     """Identifiers of other calls that a call's arguments name as $id or ${id}."""
-    if isinstance(args, dict):
-        return [r for k in sorted(args, key=str) for r in _references(args[k])]
-    if isinstance(args, list):
-        return [r for x in args for r in _references(x)]
-    return _REFERENCE.findall(args) if isinstance(args, str) else []
+    out: set[str] = set()
+    todo = [args]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            out.update(_REFERENCE.findall(v))
+        else:
+            todo += v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
+    return out
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +208,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["conv_id", "call_id", "level", "place"])
 
 
-def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, rounds: int = 64) -> DataFrame:
+def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, rounds: int = ROUNDS, one_task: int = ONE_TASK) -> DataFrame:
     """One row for each message of ``turns`` (conv_id, turn, role, text), in a defined order of each conversation.
 
     Returns conv_id, turn, part (within the turn), kind, call_id, name, level (length of the chain of references before
@@ -177,8 +216,12 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, round
     a result a call; null for messages), valid and errors (of a call's arguments; of a tool without schema: valid), and
     message (canonical JSON). A result counts for the first call of its identifier and of several the first by turn
     is linked. ``order_key`` puts a result right after its call, or at its own turn if it has none. Null texts are empty
-    messages, null roles and turns stay null, turns of null come first; repeated rows give repeated messages. Levels
-    beyond ``rounds`` come from one pass over a conversation's remaining references (identifiers alone) in a task.
+    messages, null roles and turns stay null, turns of null come first; repeated rows give repeated messages, of which
+    the first by turn and part is linked. JSON that can't be read, or that is nested deeper than the parser goes, is a plain
+    message of its whole text, or an argument's. An empty table gives no rows; other columns are not read.
+
+    Levels are found a round each, for all conversations at once. Once ``rounds`` are over and no conversation has more
+    than ``one_task`` references left, the rest (identifiers alone) comes from one pass over each conversation's, in a task.
     """
     tuned(turns)
     known = schemas or {}
@@ -197,13 +240,13 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, round
                         errors = [] if x["name"] else ["$: no tool named"]
                         errors += ["$: no identifier"] if x["id"] is None else []
                         errors += errors_of(x["args"], schema) if schema is not None else []
-                        refs = sorted(set(_references(x["args"])))
+                        refs = sorted(_references(x["args"]))
                         said |= {"tool_call": {"id": x["id"], "name": x["name"], "arguments": x["args"]}}
                     elif kind == "result":
                         said |= {"tool_call_id": x["id"], "content": x["content"]}
                     else:
                         said |= {"content": x["content"]}
-                    out.append((conv, turn, role, part, kind, x.get("id"), x.get("name"), refs, None if errors is None else not errors, errors, canonical(said)))
+                    out.append((conv, turn, role, part, kind, x.get("id"), x.get("name"), refs, None if errors is None else not errors, errors and [*map(_valid, errors)], canonical(said)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names)
 
     parts = written(src.mapInArrow(run, "conv_id string, turn long, role string, part int, kind string, call_id string, name string, refs array<string>, valid boolean, errors array<string>, message string"))
@@ -216,7 +259,8 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None, round
     own = calls.select("conv_id", "call_id", F.col("at.t").alias("own"))
     levels = written(own.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.col("own").alias("place")))
     level, left = 0, needs
-    while level < rounds and not left.isEmpty():
+    large = lambda: not left.groupBy("conv_id").count().where(F.col("count") > one_task).isEmpty()
+    while not left.isEmpty() and (level < rounds or large()):
         done = levels.where(F.col("level") == level).select("conv_id", F.col("call_id").alias("ref"))
         rest = written(left.join(done, ["conv_id", "ref"], "left_anti"))
         level += 1
