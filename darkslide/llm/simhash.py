@@ -1,20 +1,23 @@
 """SimHash near-duplicates by a self-join of a binary trie.
 
 All fingerprints stand in a binary trie. Two of its nodes are taken down together, bit by bit; the bits in which
-their paths differ add up, and a pair that differs in more than the budget is pruned with all below it. Four
-rotations of the fingerprint by 16 bits put each quarter on top once: two fingerprints within 3 bits agree in one
-quarter at least, so that in one of the four tries their common path is 16 bits long, and each of the 65,536
-subtrees below that depth can be searched for itself, by any task.
+their paths differ add up, and a pair that differs in more than the budget is pruned with all below it. The 64 bits
+are cut into blocks, more than the budget: two fingerprints within 3 bits agree in all blocks but three at least.
+Each choice of so many blocks is put on top once, so that in one of these tries the pair's common path is as long as
+the blocks are, and each subtree below that depth can be searched for itself, by any task. Four blocks give four tries of
+65,536 subtrees; where a subtree would hold more fingerprints than a task takes, there are more blocks and longer paths.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, grouped, labels_of, tuned, written
@@ -22,6 +25,10 @@ from .graph import connected_components
 
 #: Fingerprints of a subtree that one task takes; larger subtrees are dealt out by pairs of their parts.
 PART = 1024
+#: Bits in which linked fingerprints differ at most.
+BUDGET = 3
+#: Large subtrees whose list is broadcast; a longer list is joined by a shuffle.
+LISTED = 300_000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Node pairs with at most so many fingerprint pairs are compared outright.
@@ -77,19 +84,54 @@ def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int) ->
         a_lo, a_hi, b_lo, b_hi, diff = a_lo[keep], a_hi[keep], b_lo[keep], b_hi[keep], diff[keep]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each subtree's links: as many edges as nodes at most, however dense the links are."""
-    for t, starts in grouped(batches, ["subtree", "part", "other"]):
-        keys = t.column("turned").to_numpy().view(np.uint64)
-        rep = t.column("rep").to_numpy()
-        label = np.arange(len(keys))
-        for i, j in trie_pairs(keys, starts, 48, 3):
-            if len(i):
-                label = labels_of(len(keys), np.append(i, np.arange(len(keys))), np.append(j, label))
-        low = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, rep)
-        far = low[label] != rep
-        yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(low[label][far])], ["a", "b"])
+class Tries(NamedTuple):
+    """How fingerprints are cut: the blocks' widths, and for each trie the blocks in their order, those on top first."""
+
+    widths: tuple[int, ...]
+    orders: tuple[tuple[int, ...], ...]
+
+    @property
+    def top(self) -> int:
+        """Bits of the shortest common path."""
+        return min(sum(self.widths[i] for i in o[: len(self.widths) - BUDGET]) for o in self.orders)
+
+    def turned(self, bits: Column, trie: int) -> Column:
+        """The fingerprint with its blocks in a trie's order."""
+        first, out, left = [0, *itertools.accumulate(self.widths)], F.lit(0).cast("long"), 64
+        for i in self.orders[trie]:
+            left -= self.widths[i]
+            block = F.shiftrightunsigned(bits, 64 - first[i + 1]).bitwiseAND((1 << self.widths[i]) - 1)
+            out = out.bitwiseOR(F.shiftleft(block, left))
+        return out
+
+
+def tries_for(count: int) -> Tries:
+    """As few blocks as keep a subtree of evenly spread fingerprints within a task's part."""
+    for n in itertools.count(BUDGET + 1):
+        widths = tuple(64 * (i + 1) // n - 64 * i // n for i in range(n))
+        tops = itertools.combinations(range(n), n - BUDGET)
+        found = Tries(widths, tuple((*t, *(i for i in range(n) if i not in t)) for t in tops))
+        if count <= PART << found.top:
+            return found
+
+
+def _links(depth: int):
+    """A task's spanning forests of subtrees' links: as many edges as nodes at most, however dense the links are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in grouped(batches, ["trie", "subtree", "part", "other"]):
+            keys = t.column("turned").to_numpy().view(np.uint64)
+            node = t.column("bits").to_numpy()
+            label = np.arange(len(keys))
+            for i, j in trie_pairs(keys, starts, depth, BUDGET):
+                if len(i):
+                    label = labels_of(len(keys), np.append(i, np.arange(len(keys))), np.append(j, label))
+            low = np.full(len(keys), np.iinfo(np.int64).max)
+            np.minimum.at(low, label, node)
+            far = low[label] != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(low[label][far])], ["a", "b"])
+
+    return run
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -110,21 +152,28 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
     Documents link if their fingerprints differ in at most 3 bits. Rows of equal fingerprints are one node of the
     graph, so copies make no pairs. Null texts count as empty: fingerprint 0, which links like any other. Rows of a
-    null doc_id get component_id null unless they link with a row that has one; repeated rows stay. Empty in, empty out.
+    null doc_id link like any others, and lead from one document to another; where no linked row has a doc_id,
+    component_id is null. Repeated rows stay. Empty in, empty out; other columns are not read.
     """
     own = written(fingerprints(docs))
-    nodes = written(own.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("rep")))
-    turned = nodes.select("rep", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), (F.shiftleft("bits", 16 * r).bitwiseOR(F.shiftrightunsigned("bits", 64 - 16 * r)) if r else F.col("bits")).alias("turned")) for r in range(4)))).alias("x")).select("rep", "x.r", "x.turned")
-    rows = turned.select("rep", "turned", (F.col("r") * 65536 + F.shiftrightunsigned("turned", 48)).cast("int").alias("subtree"))
-    # four times 65,536 subtrees at most: the list of large ones has a bound
-    large = rows.groupBy("subtree").count().where(F.col("count") > PART).select("subtree", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    dealt = rows.join(F.broadcast(large), "subtree", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("turned"), F.col("parts")).cast("int"))
-    cells = dealt.select("subtree", "turned", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")).select("subtree", F.least("own", "to").alias("part"), F.greatest("own", "to").alias("other"), "turned", "rep")
+    nodes = written(own.groupBy("bits").agg(F.min("doc_id").alias("rep")))
+    tries = tries_for(nodes.count())
+    turned = F.array(*(F.struct(F.lit(k).alias("trie"), tries.turned(F.col("bits"), k).alias("turned")) for k in range(len(tries.orders))))
+    rows = nodes.select("bits", F.explode(turned).alias("x")).select("bits", "x.trie", "x.turned", F.shiftrightunsigned("x.turned", 64 - tries.top).alias("subtree"))
+    large = written(rows.groupBy("trie", "subtree").count().where(F.col("count") > PART).select("trie", "subtree", F.ceil(F.col("count") / PART).cast("int").alias("parts")))
+    listed = F.broadcast(large) if large.count() <= LISTED else large
+    dealt = rows.join(listed, ["trie", "subtree"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("turned"), F.col("parts")).cast("int"))
+    cells = dealt.select("trie", "subtree", "turned", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    cells = cells.select("trie", "subtree", F.least("own", "to").alias("part"), F.greatest("own", "to").alias("other"), "turned", "bits")
     # the unsigned order of keys within a subtree is their signed order too: they share the highest bit
-    edges = written(cells.repartition("subtree", "part", "other").sortWithinPartitions("subtree", "part", "other", "turned").mapInArrow(_links, "a long, b long"))
+    place = ("trie", "subtree", "part", "other")
+    edges = written(cells.repartition(*place).sortWithinPartitions(*place, "turned").mapInArrow(_links(64 - tries.top), "a long, b long"))
     found = connected_components(edges)
-    forget(edges)
-    classes = written(nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bits", F.coalesce("component", "rep").alias("component_id")))
+    forget(edges, large)
+    groups = written(nodes.join(found.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "rep", F.coalesce("component", "bits").alias("group")))
+    least = groups.groupBy("group").agg(F.min("rep").alias("component_id"))
+    classes = written(groups.join(least, "group").select("bits", "component_id"))
+    forget(nodes, groups)
     return own.join(classes, "bits", "left").select("doc_id", "bits", "component_id")
 
 
