@@ -2,14 +2,14 @@
 
 In each of several tables a vector is projected to 16 random directions, scaled, and each half of the projection is
 decoded to the nearest point of the E8 lattice; the two points are its cell. A vector is stored in its own cell and
-also probes the neighbouring cells that lie nearest to it, one across a wall of each half. Pairs that meet in a cell
-are verified by their cosine in double precision. A pair counts where it meets first, so that links are counted
-without a list of pairs, and each task reduces its links to a spanning forest.
+also probes the neighbouring cells that lie nearest to it, one across a wall of each half. Cells travel without the
+vectors; only members of cells where vectors meet get them, and those pairs are verified by their cosine in double
+precision. A pair counts where it meets first, so that links are counted without a list of pairs, and each task reduces
+its links to a spanning forest.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,8 +23,6 @@ from .graph import connected_components
 
 #: Rows of a cell that one task takes; larger cells are dealt out by pairs of their parts.
 PART = 512
-#: Large cells whose list is broadcast; a longer list is joined by a shuffle.
-LISTED = 200_000
 
 
 class Lattice(NamedTuple):
@@ -35,13 +33,6 @@ class Lattice(NamedTuple):
     seed: int = 8
 
 
-def _roots() -> np.ndarray:
-    """The 240 shortest vectors of E8."""
-    whole = [tuple(s if k == i else t if k == j else 0.0 for k in range(8)) for i in range(8) for j in range(i) for s in (1.0, -1.0) for t in (1.0, -1.0)]
-    half = [v for v in itertools.product((0.5, -0.5), repeat=8) if sum(x < 0 for x in v) % 2 == 0]
-    return np.array(whole + half)
-
-
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
     """Whole-number points of even sum nearest to x: where rounding gives an odd sum, the worst coordinate goes the other way."""
     near = np.rint(x)
@@ -58,6 +49,24 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+def nearest_root(x: np.ndarray) -> np.ndarray:
+    """The shortest vector of E8, of its 240, that points most in the direction of x.
+
+    They are two ones of any sign, or eight halves of which an even number is negative.
+    """
+    size, rows = np.abs(x), np.arange(len(x))
+    sign = np.where(x >= 0, 1.0, -1.0)
+    order = np.argsort(size, axis=1)
+    ones = np.zeros_like(x)
+    for k in (-1, -2):
+        ones[rows, order[:, k]] = sign[rows, order[:, k]]
+    odd = (x < 0).sum(axis=1) & 1
+    halves = sign / 2
+    halves[rows, order[:, 0]] *= np.where(odd, -1, 1)
+    take = size[rows, order[:, -1]] + size[rows, order[:, -2]] >= size.sum(axis=1) / 2 - odd * size[rows, order[:, 0]]
+    return np.where(take[:, None], ones, halves)
+
+
 def _mix(rows: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit hash of each row of small integers."""
     h = np.full(len(rows), salt, np.uint64)
@@ -69,17 +78,20 @@ def _mix(rows: np.ndarray, salt: int) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, labels: np.ndarray, lattice: Lattice) -> np.ndarray:
-    """For each vector and table the hashes of its own cell and of the two cells that it probes: (n, tables, 3)."""
+    """For each vector and table the hashes of its own cell and of the two cells that it probes: (n, tables, 3).
+
+    A vector's are the same to the last bit whatever vectors stand beside it, as no sum depends on them.
+    """
     n, dim = unit.shape
-    out, roots = np.zeros((n, lattice.tables, 3), np.uint64), _roots()
+    out = np.zeros((n, lattice.tables, 3), np.uint64)
     rng = np.random.default_rng([lattice.seed, dim])
     for t in range(lattice.tables):
         halves, others = [], []
         for _ in range(2):
-            x = unit @ (rng.normal(size=(dim, 8)) * lattice.scale)
+            x = np.einsum("ij,jk->ik", unit, rng.normal(size=(dim, 8)) * lattice.scale)
             c = nearest_e8(x)
             halves.append(np.rint(2 * c))
-            others.append(np.rint(2 * (c + roots[((x - c) @ roots.T).argmax(axis=1)])))
+            others.append(np.rint(2 * (c + nearest_root(x - c))))
         for k, pair in enumerate(((halves[0], halves[1]), (others[0], halves[1]), (halves[0], others[1]))):
             out[:, t, k] = _mix(np.column_stack([labels, *pair]), 1000 * dim + t)
     return out
@@ -92,64 +104,72 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _stored(lattice: Lattice):
+    """A row for each vector and cell that it is stored in or probes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            emb = b.column("emb")
-            sizes = np.diff(emb.offsets.to_numpy())
-            flat = emb.flatten().to_numpy(zero_copy_only=False)
-            first = np.cumsum(sizes) - sizes
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                v = flat[first[at][:, None] + np.arange(dim)]
-                own = cells(_unit(v), b.column("label").to_numpy()[at], lattice)
+            for at, v in _by_size(b.column("emb")):
+                own = cells(_unit(v), b.column("lab").to_numpy()[at], lattice)
                 n, k = len(at), 3 * lattice.tables
-                each = np.repeat(at, k)
-                vectors, hashes = [x.tobytes() for x in v], [x.tobytes() for x in own.astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(own.reshape(-1).view(np.int64)), pa.array(np.tile(np.repeat(np.arange(lattice.tables, dtype=np.int32), 3), n)), pa.array(np.tile(np.arange(3) == 0, n * lattice.tables)),
-                    b.column("rep").take(pa.array(each)), b.column("mult").take(pa.array(each)),
-                    pa.array(vectors, pa.binary()).take(pa.array(np.repeat(np.arange(n), k))), pa.array(hashes, pa.binary()).take(pa.array(np.repeat(np.arange(n), k))),
-                ], ["cell", "tab", "owner", "rep", "mult", "vec", "hashes"])
+                    pa.array(own.reshape(-1).view(np.int64)), pa.array(np.tile(np.repeat(np.arange(lattice.tables, dtype=np.int32), 3), n)),
+                    pa.array(np.tile(np.arange(3) == 0, n * lattice.tables)), b.column("rep").take(pa.array(np.repeat(at, k))),
+                ], ["cell", "tab", "owner", "rep"])
 
     return run
 
 
-def _links(threshold: float, tables: int, kind: str):
+def _by_size(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the same length and their values, out of lists without nulls."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    first = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, flat[first[at][:, None] + np.arange(size)]
+
+
+def _links(threshold: float, lattice: Lattice):
+    """A task's links as spanning forests, with each vector's number of them, out of rows of cells dealt out in parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in grouped(batches, ["cell", "part", "other"], 8_000):
-            rep, mult, owner, tab, cell = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "mult", "owner", "tab", "cell"))
+            rep, mult, owner, tab, cell, lab = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "mult", "owner", "tab", "cell", "lab"))
             own, part, other = (t.column(c).to_numpy() for c in ("own", "part", "other"))
-            width = t.column("vec").to_pylist()
-            hashes = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint32).reshape(-1, tables, 3)
+            label = t.column("label").to_numpy(zero_copy_only=False)
             linked: list[tuple[np.ndarray, np.ndarray]] = []
-            wide = np.array([len(w) for w in width])
-            for size in np.unique(wide):  # one dimension at a time; a cell holds one alone
-                rows = np.flatnonzero(wide == size)
-                x = _unit(np.frombuffer(b"".join([width[r] for r in rows]), kind).reshape(len(rows), -1))
-                at = np.full(len(wide), -1)
-                at[rows] = np.arange(len(rows))
-                for lo, hi in zip(starts[:-1], starts[1:]):
-                    n = hi - lo
-                    if n < 2 or at[lo] < 0 or not owner[lo:hi].any():
+            hashes = np.zeros((t.num_rows, lattice.tables, 3), np.uint64)
+            for rows, v in _by_size(t.column("emb").combine_chunks()):  # one length at a time; a cell holds one alone
+                x = _unit(v)
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                for lo, hi in zip(*(np.searchsorted(rows, s) for s in (starts[:-1], starts[1:]))):
+                    if hi - lo < 2 or not owner[rows[lo:hi]].any():
                         continue
-                    mine = x[at[lo] : at[lo] + n]
+                    mine = x[lo:hi]
                     i, j = np.nonzero(np.triu(mine @ mine.T >= threshold - 1e-9, 1))
                     if len(i):
                         near = np.einsum("ij,ij->i", mine[i], mine[j]) >= threshold
-                        linked.append((i[near] + lo, j[near] + lo))
+                        found.append((i[near] + lo, j[near] + lo))
+                if found:
+                    i, j = (np.concatenate(c) for c in zip(*found))
+                    linked.append((rows[i], rows[j]))
+                    # where the linked vectors meet at all: their cells once more, once for each vector
+                    at = np.unique(np.concatenate([i, j]))
+                    _, one, back = np.unique(rep[rows[at]], return_index=True, return_inverse=True)
+                    hashes[rows[at]] = cells(x[at[one]], lab[rows[at[one]]], lattice)[back]
             if not linked:
                 continue
             i, j = (np.concatenate(c) for c in zip(*linked))
             swap = rep[i] > rep[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             # parts of a large cell: a pair within one part counts only where that part meets itself
-            ok = (owner[i] | owner[j]) & (rep[i] != rep[j]) & ((own[i] != own[j]) | (part[i] == other[i]))
+            ok = (owner[i] | owner[j]) & (rep[i] != rep[j]) & (label[i] == label[j]) & ((own[i] != own[j]) | (part[i] == other[i]))
             i, j = i[ok], j[ok]
             a, b = hashes[i], hashes[j]
             meets = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
             first = meets.argmax(axis=1) == tab[i]
             here = np.arange(len(i)), tab[i]
-            k = cell[i].view(np.uint64).astype(np.uint32)
+            k = cell[i].view(np.uint64)
             turn = (a[here][:, 0] == k) | ~(b[here] == a[here][:, :1]).any(axis=1)
             i, j = i[first & turn], j[first & turn]
             if not len(i):
@@ -168,26 +188,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, lattice: Lattice =
     Vectors link if their labels are equal and their cosine is ``threshold`` or more. Equal vectors are one class: they
     link with each other and share all other links. Vectors that are null, empty, zero or hold nulls or non-finite
     components, and those of a null label, link with nothing, as do vectors of different length. A row of a null vec_id
-    links with nothing and has no component. Repeated rows count as vectors of their own. Empty in, empty out.
+    links with nothing and has no component. Labels may be of any type that has a text. Repeated rows count as vectors of
+    their own, and of a repeated vec_id with equal vectors too. Empty in, empty out; other columns are not read.
     """
     tuned(vectors)
     kind = "float" if "float" in vectors.schema["embedding"].dataType.simpleString() else "double"
     sound = "label is not null and vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
-    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("emb"), F.coalesce(F.expr(sound), F.lit(False)).alias("sound"))
+    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("emb"), F.coalesce(F.expr(sound), F.lit(False)).alias("sound"))
     src = src.select("*", F.xxhash64("emb").alias("k1"), F.xxhash64(F.lit(11), "emb").alias("k2"))
     ids = written(src.select("vec_id", "label", "sound", "k1", "k2"))
-    classes = written(src.where("sound").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("emb").alias("emb")))
-    rows = written(classes.select("label", "rep", "mult", "emb").mapInArrow(_stored(lattice), "cell long, tab int, owner boolean, rep long, mult long, vec binary, hashes binary"))
-    large = written(rows.groupBy("cell").count().where(F.col("count") > PART).select("cell", F.ceil(F.col("count") / PART).cast("int").alias("parts")))
-    listed = F.broadcast(large) if large.count() <= LISTED else large
-    dealt = rows.join(listed, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", F.least("own", "to").alias("part"), F.greatest("own", "to").alias("other"), "own", "tab", "owner", "rep", "mult", "vec", "hashes")
-    met = written(dealt.repartition("cell", "part", "other").sortWithinPartitions("cell", "part", "other").mapInArrow(_links(threshold, lattice.tables, {"float": "f4", "double": "f8"}[kind]), "a long, b long, n long"))
-    links = written(met.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")))
-    found = connected_components(met.select("a", "b"))
-    forget(rows, large)
-    of = classes.join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = src.where("sound").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("emb").alias("emb"))
+    classes = written(classes.withColumn("lab", F.xxhash64("label")))
+    rows = written(classes.select("lab", "rep", "emb").mapInArrow(_stored(lattice), "cell long, tab int, owner boolean, rep long"))
+    # cells where vectors meet, one of which is stored there; most cells hold one vector alone
+    met = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("owner").alias("owned")).where("n > 1 and owned")
+    met = written(met.select("cell", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    members = written(rows.join(met, "cell"))
+    forget(rows, met)
+    dealt = members.join(classes.drop("k1", "k2"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", F.least("own", "to").alias("part"), F.greatest("own", "to").alias("other"), "own", "tab", "owner", "rep", "mult", "label", "lab", "emb")
+    place = ("cell", "part", "other")
+    links = written(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_links(threshold, lattice), "a long, b long, n long"))
+    counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    found = connected_components(links.select("a", "b"))
+    of = classes.join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of = written(of.select("label", "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    forget(members, links)
     mine = ids.join(of, ["label", "k1", "k2"], "left")
     take = lambda c, other: F.when(F.col("sound"), F.col(c)).otherwise(other).alias(c)
     return mine.select("vec_id", take("n_links", F.lit(0)).cast("long").alias("n_links"), take("component_id", F.col("vec_id"))).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on rows that are odd in every way."""
 
+import itertools
 import json
 import math
 import random
@@ -220,13 +221,29 @@ def test_components_of_chains_and_stars(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def e8_roots():
+    """The 240 shortest vectors of E8."""
+    whole = [tuple(s if k == i else t if k == j else 0.0 for k in range(8)) for i in range(8) for j in range(i) for s in (1.0, -1.0) for t in (1.0, -1.0)]
+    half = [v for v in itertools.product((0.5, -0.5), repeat=8) if sum(x < 0 for x in v) % 2 == 0]
+    return np.array(whole + half)
+
+
 def test_e8_decoding():
+    roots = e8_roots()
     x = np.random.default_rng(0).normal(size=(300, 8)) * 2
     near = lattice.nearest_e8(x)
     doubled = np.rint(2 * near).astype(int)
     assert np.allclose(doubled, 2 * near) and ((doubled % 2).min(axis=1) == (doubled % 2).max(axis=1)).all() and (np.rint(near.sum(axis=1)).astype(int) % 2 == 0).all()
     gap = ((x - near) ** 2).sum(axis=1)
-    assert (gap <= 1 + 1e-9).all() and all((((x - near - v) ** 2).sum(axis=1) >= gap - 1e-9).all() for v in lattice._roots())
+    assert (gap <= 1 + 1e-9).all() and all((((x - near - v) ** 2).sum(axis=1) >= gap - 1e-9).all() for v in roots)
+    assert len(roots) == 240 and np.allclose((x * lattice.nearest_root(x)).sum(axis=1), (x @ roots.T).max(axis=1)) and {tuple(v) for v in lattice.nearest_root(x)} <= {tuple(v) for v in roots}
+
+
+def test_cells_do_not_depend_on_the_vectors_beside():
+    v = lattice._unit(np.random.default_rng(3).normal(size=(500, 64)).astype(np.float32))
+    lab = np.arange(500) % 3
+    alone = np.concatenate([lattice.cells(v[i : i + 1], lab[i : i + 1], lattice.Lattice()) for i in range(0, 500, 7)])
+    assert (lattice.cells(v, lab, lattice.Lattice())[::7] == alone).all()
 
 
 @pytest.mark.parametrize("part", [512, 16])
@@ -255,6 +272,12 @@ def test_lattice_against_brute_force(spark, part, monkeypatch):
     assert lattice.near_vectors(df.limit(0)).collect() == []
 
 
+def test_lattice_labels_of_any_type(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(1, v, "a"), (2, v, "a"), (3, v, "b"), (4, v, None), (5, [1.0, 2.0, 3.01], "b")], "vec_id long, embedding array<double>, label string")
+    assert {(x["vec_id"], x["n_links"], x["component_id"]) for x in lattice.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 1, 3), (5, 1, 3), (4, 0, 4)}
+
+
 def test_lattice_copies(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0], 1) for i in range(50)] + [(50, [1.0, 2.0, 3.01], 1)], "vec_id long, embedding array<double>, label int")
     rows = lattice.near_vectors(df).collect()
@@ -328,6 +351,17 @@ def test_ctw_against_its_definition(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9), i
 
 
+@pytest.mark.parametrize(("depth", "block"), [(3, 40), (6, 1), (7, 10**6)])
+def test_ctw_of_other_depths_and_blocks(spark, depth, block, monkeypatch):
+    texts = ["the cat sat on the mat", "the dog sat", "A cat  and\na dog", "", None, "the cat sat on the dog " * 5, "zzz", "the mat"]
+    df = spark.createDataFrame([(i, t, i < 6) for i, t in enumerate(texts)], "doc_id long, text string, t boolean").coalesce(2)
+    got = {r["doc_id"]: r for r in ctw.score_texts(df, F.col("t"), depth, block).collect()}
+    monkeypatch.setattr(ctw, "DEPTH", depth)
+    for i, want in enumerate(slow_ctw(texts[:6], texts)):
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9), i
+        assert math.isclose(got[i]["bits_per_byte"], -want / math.log10(2) / (len(b" ".join(ctw.words_of(texts[i]))) + 1), rel_tol=1e-9)
+
+
 def test_ctw_odd(odd, none):
     rows = ctw.score_texts(odd, F.col("doc_id") != 7).collect()
     assert len(rows) == odd.count() and all(r["score"] < 0 and math.isfinite(r["base_score"]) for r in rows)
