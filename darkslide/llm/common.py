@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,12 +29,13 @@ def tuned(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's, or one of this machine where none is set (tests)."""
+    """The folder all executors share: the cluster's; where none is set and one machine does all the work, one of its own."""
     sc = spark.sparkContext
-    if where := spark.conf.get("spark.checkpoint.dir", None):
+    if where := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return where
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="darkslide-"))
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir isn't set: the executors need a folder that they share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="darkslide-"))
     return sc.getCheckpointDir()
 
 

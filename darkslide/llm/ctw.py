@@ -5,10 +5,12 @@ before, down to a fixed depth. Each node holds a Krichevsky-Trofimov estimate of
 children say, half and half beforehand; the counts of the corpus turn the halves into weights. Below the last context
 that was seen nothing is mixed in. A byte's probability is the product of its eight mixtures over all depths of its context.
 
-The counts are gathered in blocks, one for each split of the table. A block's distinct grams (context and byte) go
-out in a few compressed chunks, are summed by gram, go to the subtree of their three latest context bytes, and their
-probabilities come back to the blocks that hold them, which then score their texts. No task sees more than a block or
-a part of the distinct grams, and no table is broadcast but the nodes of the top two levels.
+The texts are written once, in blocks of a bounded size that no later reading cuts anew. A block's distinct grams
+(context and byte) go out in a few compressed chunks, are summed by gram, go to the subtree of their three latest
+context bytes, and their probabilities come back to the blocks that hold them, which then score their texts. A split's
+blocks go to the task of the split's number, one after the other. No task sees more than a block or a part of the
+distinct grams at a time (a subtree of three bytes has 16.7 million grams at most, whatever the input), and nothing is
+broadcast but the nodes of the top two levels.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, tuned, written
 
-#: Context bytes before a byte; with it they fill a 64-bit key at most.
+#: Context bytes before a byte, from 3 to 7; with it they fill a 64-bit key at most.
 DEPTH = 5
+#: Bytes of text from which a block is full.
+BLOCK = 24_000_000
 #: What ends a text and stands before it; UTF-8 has no such byte.
 END = 0xFF
 #: Distinct grams that a block gathers before it merges them.
@@ -39,9 +45,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def grams(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: Iterable[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For texts of words: the gram that ends at each of their bytes, words joined by a space, and at their end; and how many a text has."""
-    pad, parts, n = bytes([END]) * DEPTH, [], []
+    pad, parts, n = bytes([END]) * depth, [], []
     for w in texts:
         joined = b" ".join(w)
         parts += [pad, joined, pad[:1]]
@@ -49,10 +55,10 @@ def grams(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join([*parts, bytes(8)]), np.uint8)
     lengths = np.array(n, np.int64)
     windows = np.lib.stride_tricks.as_strided(data.view(np.uint8), (len(data) - 8, 8), (1, 1))
-    keys = np.ascontiguousarray(windows).view(">u8").reshape(-1).astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))
-    first = np.cumsum(lengths + DEPTH) - (lengths + DEPTH)
+    keys = np.ascontiguousarray(windows).view(">u8").reshape(-1).astype(np.uint64) >> np.uint64(8 * (7 - depth))
+    first = np.cumsum(lengths + depth) - (lengths + depth)
     keep = np.ones(len(keys), bool)
-    for k in range(DEPTH):
+    for k in range(depth):
         keep[first + lengths + k] = False
     return keys[keep], lengths
 
@@ -132,17 +138,17 @@ class Level:
         return Level(up, total(self.zeros), total(self.ones), total(self.log_w)), parent
 
 
-def latest_first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def latest_first(keys: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """A gram's context with the latest byte on top, and the byte itself."""
     out = np.zeros_like(keys)
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         out = (out << np.uint64(8)) | ((keys >> np.uint64(8 * k)) & np.uint64(255))
     return out, keys & np.uint64(255)
 
 
-def _leaves(keys: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+def _leaves(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[Level, np.ndarray, np.ndarray]:
     """The deepest level under grams; for each gram and bit the node there and the bit."""
-    context, byte = latest_first(keys)
+    context, byte = latest_first(keys, depth)
     place = np.stack([np.uint64(1 << k) | (byte >> np.uint64(8 - k)) for k in range(8)])
     bit = np.stack([((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool) for k in range(8)])
     key, at = np.unique((context << np.uint64(8)) | place, return_inverse=True)
@@ -152,11 +158,11 @@ def _leaves(keys: np.ndarray, n: np.ndarray) -> tuple[Level, np.ndarray, np.ndar
     return Level(key, sums(~bit), sums(bit)), at, bit
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, top: list[Level] | None = None, down_to: int = 3):
+def subtree(keys: np.ndarray, n: np.ndarray, top: list[Level] | None = None, depth: int = DEPTH, down_to: int = 3):
     """The nodes at depth ``down_to`` over whole subtrees of grams; with the ``top`` levels, the grams' log10 probabilities."""
-    level, at, bit = _leaves(keys, n)
+    level, at, bit = _leaves(keys, n, depth)
     levels, steps = [level], []
-    for _ in range(DEPTH - down_to):
+    for _ in range(depth - down_to):
         level, parent = level.above()
         levels.append(level)
         steps.append(parent)
@@ -176,11 +182,12 @@ def subtree(keys: np.ndarray, n: np.ndarray, top: list[Level] | None = None, dow
     return np.log10(p).sum(axis=0)
 
 
-def top_levels(rows: list[tuple[int, float, float, float]]) -> list[Level]:
-    """The levels above the subtrees, deepest first, from sums over the subtrees' nodes by their parent."""
-    key = np.array([r[0] for r in rows], np.uint64)
+def top_levels(rows: pa.Table) -> list[Level]:
+    """The levels above the subtrees, deepest first, from sums over the subtrees' nodes by their parent (key, zeros, ones, below)."""
+    key, zeros, ones, below = (c.to_numpy() for c in rows.columns)
+    key = key.view(np.uint64)
     order = np.argsort(key)
-    zeros, ones, below = (np.array([r[i] for r in rows], np.float64)[order] for i in (1, 2, 3))
+    zeros, ones, below = zeros[order], ones[order], below[order]
     out = [Level(key[order], zeros, ones, below)]
     while len(out) < 3:
         out.append(out[-1].above()[0])
@@ -222,42 +229,68 @@ class KeyTable:
         return out
 
 
-def _gathered(parts: int):
-    """A block's distinct grams and words with their counts in training texts, in chunks by part."""
+_BLOCKED = "split int, block int, doc_id long, text string, trains boolean"
+
+
+def _blocked(size: int):
+    """Rows with the number of their split, and of their block in it; a text stays whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        block, texts, size = None, 0, 0
+        split, full = TaskContext.get().partitionId(), 0
         for b in batches:
-            block = b.column("block")[0].as_py() if b.num_rows else block
+            ends = full + np.cumsum(np.nan_to_num(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)))
+            block = np.append(full, ends[:-1]) // size
+            full = float(ends[-1]) if len(ends) else full
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, split, np.int32)), pa.array(block.astype(np.int32)[: b.num_rows]), *b.columns], ["split", "block", *b.schema.names])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of batches with the same values in some columns."""
+    for b in batches:
+        values = [b.column(c).to_numpy() for c in columns]
+        new = np.ones(b.num_rows, bool)
+        new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        at = np.flatnonzero(new)
+        for lo, hi in zip(at, [*at[1:], b.num_rows]):
+            yield tuple(int(v[lo]) for v in values), b.slice(lo, hi - lo)
+
+
+def _gathered(parts: int, depth: int):
+    """A block's distinct grams and words with their counts in training texts, in chunks by part."""
+
+    def chunks(block: tuple[int, int], words: Counter[bytes], held: list[tuple[np.ndarray, np.ndarray]], texts: int) -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 4) for w in words), np.uint64, len(words))
+        rows = []
+        for kind, (keys, n) in enumerate((_merged(held), _merged([(hashes, np.fromiter(words.values(), np.int64, len(words)))]))):
+            rows += [(*block, kind, *c) for c in _chunks(keys, n.astype(np.int32 if n.max(initial=0) < 2**31 else np.int64), _part(keys, parts))]
+        each = [texts, *(0 for _ in rows[1:])]  # counted once, with the block's first chunk
+        return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))), pa.array(each, pa.int64())], ["split", "block", "kind", "part", "keys", "vals", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words, held, texts, size = None, Counter(), [], 0, 0
+        for block, b in _runs(batches, "split", "block"):
+            if block != at:
+                if at is not None:
+                    yield chunks(at, words, held, texts)
+                at, words, held, texts, size = block, Counter(), [], 0, 0
             for wanted in (True, False):
                 some = [words_of(t) for t, x in zip(b.column("text").to_pylist(), b.column("trains").to_pylist()) if x == wanted]
                 if not some:
                     continue
-                keys = np.sort(grams(some)[0])
-                at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                n = np.diff(np.append(at, len(keys))) if wanted else np.zeros(len(at), np.int64)
-                held.append((keys[at], n))
-                size += len(at)
+                keys = np.sort(grams(some, depth)[0])
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                held.append((keys[first], np.diff(np.append(first, len(keys))) if wanted else np.zeros(len(first), np.int64)))
+                size += len(first)
                 for w in some:
-                    if wanted:
-                        words.update(w)
-                    else:
-                        words.update(dict.fromkeys(w, 0))
+                    words.update(w if wanted else dict.fromkeys(w, 0))
                 texts += wanted * len(some)
             if size > MERGE:
                 held = [_merged(held)]
                 size = 0
-        if block is None:
-            return
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 4) for w in words), np.uint64, len(words))
-        rows = []
-        for kind, (keys, n) in enumerate((_merged(held), _merged([(hashes, np.fromiter(words.values(), np.int64, len(words)))]))):
-            rows += [(block, kind, *c, texts if kind == 0 else 0) for c in _chunks(keys, n.astype(np.int32 if n.max(initial=0) < 2**31 else np.int64), _part(keys, parts))]
-            texts = 0  # counted once, with the block's first chunk
-            rows[1:] = [(*r[:5], 0) for r in rows[1:]]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["block", "kind", "part", "keys", "vals", "texts"])
+        if at is not None:
+            yield chunks(at, words, held, texts)
 
     return run
 
@@ -282,7 +315,7 @@ def _by_part(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
         yield held
 
 
-def _summed(subs: int):
+def _summed(subs: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches, ["part", "kind", "keys", "vals"]):
             out, seen, total, distinct = [], 0, 0, 0
@@ -294,7 +327,7 @@ def _summed(subs: int):
                 if kind:
                     total, distinct = int(n.sum()), int((n > 0).sum())
                 else:
-                    latest = latest_first(keys)[0] >> np.uint64(8 * (DEPTH - 3))
+                    latest = latest_first(keys, depth)[0] >> np.uint64(8 * (depth - 3))
                     out = list(_chunks(keys, n.astype(np.int64), _part(latest, subs)))
             out = [(*c, 0, 0) for c in out] + [(-1, b"", b"", total, distinct)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["sub", "keys", "vals", "total", "distinct"])
@@ -302,38 +335,42 @@ def _summed(subs: int):
     return run
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_part(batches, ["sub", "keys", "vals"]):
-        level = subtree(*_merged([_unpack(k, v, "<i8") for _, k, v in rows]))
-        up = ((level.key >> np.uint64(16)) << np.uint64(8)) | (level.key & np.uint64(255))
-        yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.log_w)], ["key", "zeros", "ones", "below"])
+def _nodes(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches, ["sub", "keys", "vals"]):
+            level = subtree(*_merged([_unpack(k, v, "<i8") for _, k, v in rows]), depth=depth)
+            up = ((level.key >> np.uint64(16)) << np.uint64(8)) | (level.key & np.uint64(255))
+            yield pa.RecordBatch.from_arrays([pa.array(up.view(np.int64)), pa.array(level.zeros), pa.array(level.ones), pa.array(level.log_w)], ["key", "zeros", "ones", "below"])
+
+    return run
 
 
-def _probabilities(parts: int, top: list[Level]):
+def _probabilities(parts: int, top: list[Level], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches, ["sub", "keys", "vals"]):
             keys, n = _merged([_unpack(k, v, "<i8") for _, k, v in rows])
-            out = list(_chunks(keys, subtree(keys, n, top), _part(keys, parts)))
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int32()), pa.array([-1] * len(out), pa.int32()), *(pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary())))], ["kind", "block", "part", "keys", "vals"])
+            out = list(_chunks(keys, subtree(keys, n, top, depth), _part(keys, parts)))
+            none = pa.array([-1] * len(out), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int32()), none, none, *(pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary())))], ["kind", "split", "block", "part", "keys", "vals"])
 
     return run
 
 
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each block's chunks of grams and words get: log10 probabilities, and counts."""
-    for rows in _by_part(batches, ["part", "kind", "block", "keys", "vals"]):
-        known = [_unpack(k, v, "<f8") for _, kind, block, k, v in rows if block < 0]
+    for rows in _by_part(batches, ["part", "kind", "split", "block", "keys", "vals"]):
+        known = [_unpack(k, v, "<f8") for _, _, split, _, k, v in rows if split < 0]
         keys, logs = np.concatenate([k for k, _ in known] or [np.zeros(0, np.uint64)]), np.concatenate([v for _, v in known] or [np.zeros(0)])
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
-        words = _merged([_counts(k, v) for _, kind, block, k, v in rows if kind == 1] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
-        for _, kind, block, k, v in rows:
-            if block < 0:
+        words = _merged([_counts(k, v) for _, kind, _, _, k, v in rows if kind == 1] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+        for _, kind, split, block, k, v in rows:
+            if split < 0:
                 continue
             own = _counts(k, v)[0]
             value = words[1][np.searchsorted(words[0], own)].astype(np.float64) if kind else logs[np.searchsorted(keys, own)]
             packed = _pack(own, value)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([packed[0]]), pa.array([packed[1]])], ["block", "kind", "keys", "vals"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (split, block, kind)] + [pa.array([packed[0]]), pa.array([packed[1]])], ["split", "block", "kind", "keys", "vals"])
 
 
 class _WordLogs(dict):
@@ -348,66 +385,67 @@ class _WordLogs(dict):
         return out
 
 
-def _scored(n_train: int, distinct: int, texts: int):
+def _scored(n_train: int, distinct: int, texts: int, depth: int):
     total = n_train + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, chunks, ready = None, [], None
-        for b in batches:
-            blocks, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
-            at = 0
-            while at < len(blocks):
-                if blocks[at] != block:
-                    block, chunks, ready = blocks[at], [], None
-                end = at
-                while end < len(blocks) and blocks[end] == block and (kinds[end] == 2) == (kinds[at] == 2):
-                    end += 1
-                if kinds[at] != 2:
-                    chunks += zip(kinds[at:end].tolist(), b.column("keys").slice(at, end - at).to_pylist(), b.column("vals").slice(at, end - at).to_pylist())
-                else:
-                    if ready is None:
-                        both = [[_unpack(k, v, "<f8") for kind, k, v in chunks if kind == x] for x in (0, 1)]
-                        join = lambda some, i, kind: np.concatenate([x[i] for x in some] or [np.zeros(0, kind)])
-                        ready = KeyTable(join(both[0], 0, np.uint64), join(both[0], 1, float)), _WordLogs(dict(zip(join(both[1], 0, np.uint64).tolist(), join(both[1], 1, float).tolist())), total)
-                        chunks = []
-                    logs, base = ready
-                    some = [words_of(t) for t in b.column("text").slice(at, end - at).to_pylist()]
-                    keys, sizes = grams(some)
-                    score = np.add.reduceat(logs[keys], np.cumsum(sizes) - sizes)
-                    unknown, last = math.log10(0.5 / total), math.log10((texts + 0.5) / total)
-                    each = [list(map(base.__getitem__, w)) for w in some]
-                    out = [(len(e) + 1, len(e) - e.count(unknown) + (texts > 0), math.fsum(e) + last) for e in each]
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))), pa.array(score), pa.array(sizes)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
-                at = end
+        at, chunks, ready = None, [], None
+        for (block, is_text), b in _runs(batches, "block", "is_text"):
+            if block != at:
+                at, chunks, ready = block, [], None
+            if not is_text:
+                chunks += zip(*(b.column(c).to_pylist() for c in ("kind", "keys", "vals")))
+                continue
+            if ready is None:
+                both = [[_unpack(k, v, "<f8") for kind, k, v in chunks if kind == x] for x in (0, 1)]
+                join = lambda some, i, kind: np.concatenate([x[i] for x in some] or [np.zeros(0, kind)])
+                ready = KeyTable(join(both[0], 0, np.uint64), join(both[0], 1, float)), _WordLogs(dict(zip(join(both[1], 0, np.uint64).tolist(), join(both[1], 1, float).tolist())), total)
+                chunks = []
+            logs, base = ready
+            some = [words_of(t) for t in b.column("text").to_pylist()]
+            keys, sizes = grams(some, depth)
+            score = np.add.reduceat(logs[keys], np.cumsum(sizes) - sizes)
+            unknown, last = math.log10(0.5 / total), math.log10((texts + 0.5) / total)
+            each = [list(map(base.__getitem__, w)) for w in some]
+            out = [(len(e) + 1, len(e) - e.count(unknown) + (texts > 0), math.fsum(e) + last) for e in each]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))), pa.array(score), pa.array(sizes), pa.array(-score / (sizes * math.log10(2)))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     return run
 
 
-def score_texts(docs: DataFrame, trains) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for every row of ``docs`` (doc_id, text).
+def score_texts(docs: DataFrame, trains, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row of ``docs`` (doc_id, text).
 
     ``trains``: a boolean column expression; where it is true the text is learnt from, null counts as true. ``score`` is
     the log10 probability of the text's words joined by single spaces, A-Z in lower case, and of its end; ``n_bytes`` its
-    bytes with the end, so that -score / n_bytes is its code length per byte in decimal digits. ``base_score`` is
-    that of a smoothed count of words. Null texts count as empty: they have their end alone. Without training texts all
-    estimates are one half. Repeated rows count each. An empty table gives no rows. Words are counted by a 64-bit hash.
+    bytes with the end, ``bits_per_byte`` its code length in bits for each of them. ``base_score`` is that of a smoothed
+    count of words. ``depth`` context bytes are mixed over, and blocks are full from ``block`` bytes on. Null texts count
+    as empty: they have their end alone. Without training texts all estimates are one half. No text is cut, however long.
+    Repeated rows count each, a null doc_id stays null, other columns are not read. An empty table gives no
+    rows. Words are counted by a 64-bit hash.
     """
-    spark = tuned(docs)
-    src = docs.select(F.spark_partition_id().alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(True)).alias("trains"))
-    n_blocks = max(1, docs.rdd.getNumPartitions())
-    parts = max(16, 2 * n_blocks)  # the chunks of all blocks for a part are as much at every size
-    sent = written(src.select("block", "text", "trains").mapInArrow(_gathered(parts), "block int, kind int, part int, keys binary, vals binary, texts long"))
-    summed = written(sent.select("part", "kind", "keys", "vals").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_summed(parts), "sub int, keys binary, vals binary, total long, distinct long"))
+    if not 3 <= depth <= 7:
+        raise ValueError("depth must be from 3 to 7")
+    tuned(docs)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(True)).alias("trains"))
+    blocks = written(src.mapInArrow(_blocked(block), _BLOCKED))
+    splits = (blocks.agg(F.max("split")).first()[0] or 0) + 1
+    parts = max(16, 2 * splits)  # the chunks of all blocks for a part are as much at every size
+    sent = written(blocks.select("split", "block", "text", "trains").mapInArrow(_gathered(parts, depth), "split int, block int, kind int, part int, keys binary, vals binary, texts long"))
+    by = lambda df, c: df.repartitionById(parts, F.col(c)).sortWithinPartitions(c)
+    summed = written(by(sent.select("part", "kind", "keys", "vals"), "part").mapInArrow(_summed(parts, depth), "sub int, keys binary, vals binary, total long, distinct long"))
     texts = int(sent.agg(F.sum("texts")).first()[0] or 0)
     total, distinct = (int(x or 0) for x in summed.agg(F.sum("total"), F.sum("distinct")).first())
-    by_sub = summed.where("sub >= 0").select("sub", "keys", "vals").repartition(parts, "sub").sortWithinPartitions("sub")
+    by_sub = by(summed.where("sub >= 0").select("sub", "keys", "vals"), "sub")
     # the nodes at depth 2: 65,536 contexts times 255 places at most, some 100,000 in texts
-    top = top_levels([tuple(r) for r in by_sub.mapInArrow(_nodes, "key long, zeros double, ones double, below double").groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()])
-    logs = by_sub.mapInArrow(_probabilities(parts, top), "kind int, block int, part int, keys binary, vals binary")
-    back = written(sent.select("kind", "block", "part", "keys", "vals").unionByName(logs).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_returned, "block int, kind int, keys binary, vals binary"))
+    top = top_levels(by_sub.mapInArrow(_nodes(depth), "key long, zeros double, ones double, below double").groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow())
+    logs = by_sub.mapInArrow(_probabilities(parts, top, depth), "kind int, split int, block int, part int, keys binary, vals binary")
+    back = written(by(sent.select("kind", "split", "block", "part", "keys", "vals").unionByName(logs), "part").mapInArrow(_returned, "split int, block int, kind int, keys binary, vals binary"))
     forget(sent, summed)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    rows = back.select("block", "kind", "keys", "vals", none("doc_id", "long"), none("text", "string")).unionByName(src.select("block", F.lit(2).alias("kind"), none("keys", "binary"), none("vals", "binary"), "doc_id", "text"))
+    rows = back.select("split", "block", F.lit(0).alias("is_text"), "kind", "keys", "vals", none("doc_id", "long"), none("text", "string"))
+    rows = rows.unionByName(blocks.select("split", "block", F.lit(1).alias("is_text"), none("kind", "int"), none("keys", "binary"), none("vals", "binary"), "doc_id", "text"))
     n_train = total + texts
-    out = rows.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_scored(n_train, distinct + (texts > 0), texts), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    out = rows.repartitionById(splits, F.col("split")).sortWithinPartitions("block", "is_text").drop("split")
+    out = out.mapInArrow(_scored(n_train, distinct + (texts > 0), texts, depth), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
     return out.withColumn("train_tokens", F.lit(n_train).cast("long"))

@@ -28,7 +28,7 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     scored = ctw.score_texts(docs, ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
