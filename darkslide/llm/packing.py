@@ -9,25 +9,30 @@ split as it streams by, so nothing is shuffled, and a lost task packs the same r
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tuned
 
-#: Examples that wait in a task for a sequence. They bound its memory, not what is packed.
-POOL = 2048
+#: Examples that wait in a task for a sequence, whole ones and such that may be cut. They bound its memory, not what is packed.
+POOL, CUT_POOL = 2048, 256
 #: The sequence's number, above the bits that count within a task.
 SHIFT = 40
-#: Distinct words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Characters of texts whose words are tokenized together.
+TOGETHER = 12_000_000
+
+
+# White space beside a space or at an end; what Unicode and Python call white space.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"(?:\A|[ ])(?:[{_WHITE}]|\z)|[{_WHITE}](?:[ ]|\z)"
 
 
 class Limits(NamedTuple):
@@ -166,36 +171,101 @@ def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, li
     return src.mapInArrow(run, schema)
 
 
-class WordIds(dict):
-    """From a text to its ids as little-endian 32-bit bytes; words between single spaces are looked up.
+class WordIds:
+    """From texts to their ids as little-endian 32-bit bytes; the distinct words of many texts are tokenized together.
 
-    The tokenizer's own pattern never joins what stands on both sides of a single space between other characters,
-    so a space and the word after it have the same ids everywhere. Other white space takes the slow way.
+    The tokenizer's own pattern never joins what stands on both sides of a single space between other characters, so a
+    space and the word after it have the same ids everywhere. Words are found and numbered by Arrow, tokenized in one
+    go, told apart by their bytes, and put in the words' places. Texts with other white space beside a space or at an
+    end, or with a special token, are tokenized whole.
     """
 
     def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
-        super().__init__()
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
-        self.odd = re.compile(r"\s[ ]|[ ]\s|^\s|\s$|" + "|".join(map(re.escape, special)))
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = self[word] = np.array(self.encoding.encode_ordinary(" " + word), "<u4").tobytes()
-        return ids
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.encoding.encode(text, allowed_special=self.special), "<u4").tobytes()
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= TOGETHER:
+                out += self._together(some)
+                some, size = [], 0
+        return out + (self._together(some) if some else [])
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        first, pieces = [], []  # very long texts are cut at spaces, so that arrays stay small
+        for t in texts:
+            first.append(len(pieces))
+            lo = 0
+            while lo + TOGETHER < len(t) and (cut := t.find(" ", lo + TOGETHER // 2)) >= 0:
+                pieces.append(t[lo:cut])
+                lo = cut + 1
+            pieces.append(t[lo:])
+        odd = pc.match_substring_regex(pa.array(pieces, pa.string()), _ODD).to_numpy(zero_copy_only=False)
+        ends = [*first[1:], len(pieces)]
+        odd = np.add.reduceat(odd, first) > 0
+        fine = ~np.repeat(odd, np.diff(first, append=len(pieces)))
+        begins = np.isin(np.arange(len(pieces)), first)
+        out: list[bytes] = [b""] * len(pieces)
+        lo = 0
+        while lo < len(pieces):
+            hi, size = lo, 0
+            while hi < len(pieces) and size < TOGETHER:
+                size += len(pieces[hi])
+                hi += 1
+            at = lo + np.flatnonzero(fine[lo:hi])
+            for k, ids in zip(at.tolist(), self._pieces([pieces[k] for k in at], begins[at]) if len(at) else []):
+                out[k] = ids
+            lo = hi
+        return [self._whole(t) if x or any(s in t for s in self.special) else b"".join(out[a:b]) for t, x, a, b in zip(texts, odd.tolist(), first, ends)]
+
+    def _pieces(self, pieces: list[str], begins: np.ndarray) -> list[bytes]:
+        """Each piece's ids. ``begins``: no space stands before the piece."""
+        split = pc.split_pattern(pa.array(pieces, pa.string()), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.encoding.encode_ordinary(" " + joined), "<u4")
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)) + 1
+        # a first word has no space before it, and ids of its own
+        at = np.flatnonzero(begins)
+        own = [self.encoding.encode_ordinary(w) for w in words.take(pa.array(code[ends[at]])).to_pylist()]
+        code[ends[at]] = len(words) + np.arange(len(at))
+        count = np.concatenate([np.diff(last, prepend=0), np.array([len(f) for f in own], np.int64)])
+        ids = np.concatenate([ids, np.array([i for f in own for i in f], "<u4")])
+        n = count[code]
+        place = np.cumsum(n) - n
+        data = ids[np.arange(n.sum()) + np.repeat((np.cumsum(count) - count)[code] - place, n)].tobytes()
+        stop = (4 * np.append(place, n.sum())[ends]).tolist()
+        return [data[a:b] for a, b in zip(stop[:-1], stop[1:])]
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return np.array(self.encoding.encode(text, allowed_special=self.special), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.encoding.encode_ordinary(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
+        return self.ids_of([text])[0]
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to the bytes whose words are tokenized together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], limits: Limits = Limits(), end_id: int = 0) -> DataFrame:
@@ -209,7 +279,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(ranks_path, pattern, special), VectorPacker(limits, cut=True)
+        words, packer = WordIds(ranks_path, pattern, special), VectorPacker(limits, cut=True, pool=CUT_POOL)
         base, end, count = TaskContext.get().partitionId() << SHIFT, np.array([end_id], "<u4").tobytes(), 0
         held: dict[int, list] = {}  # documents not wholly placed: id, ids from ``first`` on, first, tokens, tokens to place
 
@@ -224,11 +294,11 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict
                     del held[p.key]
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7, names)
 
-        for b in batches:
+        for some in _filled(batches):
             placed = []
             fresh: list[int] = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = words.ids(text or "") + end
+            for i, ids in zip(some.column("doc_id").to_pylist(), words.ids_of([t or "" for t in some.column("text").to_pylist()])):
+                ids += end
                 n = len(ids) // 4
                 held[count] = [i, ids, 0, n, n]
                 fresh.append(count)

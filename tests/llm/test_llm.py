@@ -86,15 +86,20 @@ def test_packing_odd(odd, none):
     assert pack(none).collect() == []
 
 
-def test_word_ids_equal_the_tokenizer():
+def test_word_ids_equal_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own = packing.WordIds(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
     r = random.Random(5)
+    texts = []
     for _ in range(400):
-        text = "".join(r.choice(("a", "Zé", " ", " ", "  ", "\n", "\t", "'s", " 'll", "12", "!?", "漢", " ", "<|endoftext|>", "the", "\x1c", "👍")) for _ in range(r.randint(0, 25)))
+        texts.append(text := "".join(r.choice(("a", "Zé", " ", " ", "  ", "\n", "\t", "'s", " 'll", "12", "!?", "漢", " ", "<|endoftext|>", "the", "\x1c", "👍", "\u3000", "\x85")) for _ in range(r.randint(0, 25))))
         assert np.frombuffer(own.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    texts += ["", " ", "\n", "one", "x " * 3000 + "y", "a\nb c" * 900]
+    for together in (40, packing.TOGETHER):  # many texts at once, and texts cut at spaces
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids_of(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_vector_packing_keeps_all_limits(spark):
