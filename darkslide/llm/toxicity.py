@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,18 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, tuned
+from .common import filtered, forget, tuned, written
 
 #: Labelled rows that the classifier is fitted on, at most.
 FIT_ROWS = 40_000
-#: Words and word beginnings that the classifier weighs, at most.
-FEATURES = 1024
+#: Standard errors by which a word's share in toxic and other rows must differ for the classifier to weigh it.
+APART = 3.0
 #: Distinct tokens whose weights a worker remembers; then it starts anew.
 REMEMBERED = 500_000
-#: Longest stretch of a token that is decoded at once.
-STRETCH = 48
 
-# What a character may stand for.
+#: What a character may stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i",
@@ -47,7 +45,9 @@ BREAKS = (BREAK, -1.0, -2.0, -3.0, -5.0, -6.0)
 
 _CLASSES = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$!|+€£(¡].*[^\W\d_]|([^\W\d_])\1|[^\W\d_][.\-_*~'·/\\,]+[^\W\d_]")
+_RUN = re.compile(r"(.)\1+", re.S)
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_SINGLES = re.compile(r"(?<!\S)(?:[^\W_][.,!?]|\S)(?!\S)(?:\s+(?:[^\W_][.,!?]|\S)(?!\S))+")
 _EDGES = re.compile(r"^[^\w@$€£]+|[^\w]+$")
 _PARTS = re.compile(r"[^\w]+")
 
@@ -67,16 +67,11 @@ class CharModel(NamedTuple):
         return cls(np.log(p3).astype(np.float32))
 
 
-def classes(text: str) -> np.ndarray:
-    """The class of each character of a lower-case text."""
-    return _TABLE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-
-
 def _class_table() -> np.ndarray:
-    table = np.full(256, 0, np.uint8)
-    for i in range(256):
-        c = chr(i)
-        table[i] = _CLASSES.index(c) + 1 if c in _CLASSES else 63 if c.isalnum() else 0
+    """The class of each character of the first plane; those beyond it are other characters."""
+    table = np.array([63 * chr(i).isalnum() for i in range(1 << 16)], np.uint8)
+    for i, c in enumerate(_CLASSES):
+        table[ord(c)] = i + 1
     return table
 
 
@@ -84,51 +79,108 @@ _TABLE = _class_table()
 _OF = {c: i + 1 for i, c in enumerate(_CLASSES)}
 
 
+def classes(text: str) -> np.ndarray:
+    """The class of each character of a lower-case text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(code < 1 << 16, _TABLE[np.minimum(code, 0xFFFF)], 63)
+
+
+_latest: tuple[np.ndarray | None, list[float]] = (None, [])
+
+
+def _flat(model: CharModel) -> list[float]:
+    """The model's logarithms as a list, by (a * 64 + b) * 64 + c; a worker keeps that of the latest model."""
+    global _latest
+    if _latest[0] is not model.three:
+        _latest = (model.three, model.three.reshape(-1).tolist())
+    return _latest[1]
+
+
+#: A path through a lattice: what came before, and the letters that its last step adds.
+Path = tuple["Path | None", str]
+
+
+def _text(path: Path | None) -> str:
+    out: list[str] = []
+    while path:
+        path, said = path
+        out.append(said)
+    return "".join(reversed(out))
+
+
 def decode(token: str, model: CharModel, breaks: str = "", cost: float = BREAK) -> str:
     """The likeliest words that ``token`` hides: one, or several with a space between where ``breaks`` has what may stand for it.
 
-    A separator in ``breaks`` may be a space; if that is ``SPELT``, so may any place between two characters.
+    A separator in ``breaks`` may be a space; if that is ``SPELT``, so may any place between two characters. The time
+    is in proportion to the token's length, and no token is cut.
     """
-    best = {(0, 0): (0.0, "")}
+    logs = _flat(model)
+    best: dict[int, tuple[float, Path | None]] = {0: (0.0, None)}  # by the classes of the last two letters
     anywhere = breaks == SPELT
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, run = m[1], len(m[0])
         if c in SEPARATORS:
             if c in breaks:
-                best = _broken(best, model)
+                best = _broken(best, logs)
             continue
         letters = STANDS_FOR.get(c, c if c.isalpha() else "")
         if not letters:
             continue
         if anywhere:
-            best = _broken(best, model, cost)
-        paths: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+            best = _broken(best, logs, cost)
+        once, chance = (0.0, ONCE, -0.7)[min(run, 3) - 1], -math.log(len(letters))
+        paths: dict[int, tuple[float, Path | None]] = {}
+        for state, (score, path) in best.items():
+            b = state & 63
             for letter in letters:
-                k = _OF.get(letter, 63)
-                one = score + float(model.three[a, b, k]) - math.log(len(letters))
-                ways = [((b, k), one + (0.0, ONCE, -0.7)[min(run, 3) - 1], text + letter), ((k, k), one + float(model.three[b, k, k]) - (0.0 if run == 2 else 0.7), text + letter * 2)]
-                if anywhere and run > 1:  # the same letter ends a word and begins the next
-                    ways.append(((0, k), one + float(model.three[b, k, 0]) + float(model.three[k, 0, k]) + cost, f"{text}{letter} {letter}"))
-                for state, s, out in ways:
-                    if (run > 1 or len(out) == len(text) + 1) and (state not in paths or s > paths[state][0]):
-                        paths[state] = (s, out)
+                k = int(classes(letter)[0]) if letter not in _OF else _OF[letter]
+                one = score + logs[state << 6 | k] + chance
+                ways = [(b << 6 | k, one + once, letter)]
+                if run > 1:
+                    ways.append((k << 6 | k, one + logs[(b << 6 | k) << 6 | k] - (0.0 if run == 2 else 0.7), letter * 2))
+                    if anywhere:  # the same letter ends a word and begins the next
+                        ways.append((k, one + logs[(b << 6 | k) << 6] + logs[k << 12 | 0 << 6 | k] + cost, f"{letter} {letter}"))
+                for to, s, said in ways:
+                    if to not in paths or s > paths[to][0]:
+                        paths[to] = (s, (path, said))
         best = paths
-    return max((score + float(model.three[a, b, 0]), text) for (a, b), (score, text) in best.items())[1].strip()
+    return _text(max(((score + logs[state << 6], path) for state, (score, path) in best.items()), key=lambda x: x[0])[1]).strip()
 
 
-def _broken(best: dict[tuple[int, int], tuple[float, str]], model: CharModel, cost: float = 0.0) -> dict[tuple[int, int], tuple[float, str]]:
+def _broken(best: dict[int, tuple[float, Path | None]], logs: list[float], cost: float = 0.0) -> dict[int, tuple[float, Path | None]]:
     """The paths, and each with its word ended."""
     out = dict(best)
-    for (a, b), (score, text) in best.items():
-        if b and (s := score + float(model.three[a, b, 0]) + cost) > out.get((b, 0), (-math.inf, ""))[0]:
-            out[b, 0] = (s, text + " ")
+    for state, (score, path) in best.items():
+        b = state & 63
+        if b and (s := score + logs[state << 6] + cost) > out.get(b << 6, (-math.inf, None))[0]:
+            out[b << 6] = (s, (path, " "))
     return out
 
 
-def words_of(token: str, model: CharModel) -> list[str]:
-    """What a lower-case token says: its word, or the words it hides; then what it shows, where that is words too."""
-    if token.isalpha() and not _SUSPECT.search(token):
+def _collapsed(word: str) -> str:
+    return _RUN.sub(r"\1", word)
+
+
+class Reach:
+    """Which words with doubled letters may turn into one of some features: those that are like it without doubles."""
+
+    def __init__(self, features: Iterable[str]):
+        whole, self.starts = set(), set()
+        for f in features:
+            (self.starts if f.endswith("*") else whole).add(_collapsed(f.rstrip("*")))
+        self.whole, self.sizes = frozenset(whole), sorted({len(s) for s in self.starts})
+
+    def __contains__(self, word: str) -> bool:
+        plain = _collapsed(word)
+        return plain in self.whole or any(plain[:k] in self.starts for k in self.sizes)
+
+
+def words_of(token: str, model: CharModel, reach: Reach | None = None) -> list[str]:
+    """What a lower-case token says: its word, or the words it hides; then what it shows, where that is words too.
+
+    With ``reach``, letters that stand twice are looked into only where a word of interest can come of it.
+    """
+    if token.isalpha() and (not _SUSPECT.search(token) or (reach is not None and not _THRICE.search(token) and token not in reach)):
         return [token]
     core = _EDGES.sub("", token)
     if not core:
@@ -136,64 +188,35 @@ def words_of(token: str, model: CharModel) -> list[str]:
     if _SUSPECT.search(core):
         parts = [p for p in _PARTS.split(core) if p]
         plain = [core] if core.isalpha() and not _THRICE.search(core) else [p for p in parts if len(p) > 2 or (p.isalpha() and len(parts) == 2)]
-        read = [w for i in range(0, len(core), STRETCH) for w in decode(core[i : i + STRETCH], model, SEPARATORS).split()]
-        joined = [decode(core[i : i + STRETCH], model) for i in range(0, len(core), STRETCH)] if len(parts) > 1 else []
-        return list(dict.fromkeys([*read, *(w for w in joined if w), *plain]))
+        joined = [decode(core, model)] if len(parts) > 1 else []
+        return list(dict.fromkeys([*decode(core, model, SEPARATORS).split(), *(w for w in joined if w), *plain]))
     return [p for p in _PARTS.split(core) if p]
 
 
-def _single(token: str) -> str:
-    """The character of a token that is no more than one and punctuation after it; else nothing."""
-    return token[0] if len(token) == 1 or (len(token) == 2 and token[1] in ".,!?" and token[0].isalnum()) else ""
+def _spelt(text: str) -> Iterator[tuple[int, int, str]]:
+    """Where two and more single characters stand in a row, a letter among them: the place, and the characters without the punctuation after them."""
+    for m in _SINGLES.finditer(text):
+        run = "".join(t[0] for t in m[0].split())
+        if any(map(str.isalpha, run)):
+            yield m.start(), m.end(), run
 
 
-def _spelt(tokens: list[str]) -> Iterator[tuple[int, int]]:
-    """Where two and more single characters stand in a row, a letter among them."""
-    i = 0
-    while i < len(tokens):
-        j = i
-        while j < len(tokens) and _single(tokens[j]):
-            j += 1
-        if j - i >= 2 and any(_single(t).isalpha() for t in tokens[i:j]):
-            yield i, j
-        i = max(j, i + 1)
-
-
-def _respelt(run: str, model: CharModel, cost: float = BREAK) -> list[str]:
-    """The words of a run of single characters, decoded in stretches that begin where a word does."""
-    out: list[str] = []
-    while len(run) > STRETCH:
-        head = decode(run[:STRETCH], model, SPELT, cost).split()
-        said = head[:-1] if len(head) > 1 else head
-        out += said
-        used = STRETCH if len(head) == 1 else _taken(run[:STRETCH], said, model, cost)
-        run = run[used:]
-    return out + decode(run, model, SPELT, cost).split()
-
-
-def _taken(run: str, said: list[str], model: CharModel, cost: float) -> int:
-    """How many characters of ``run`` say the words ``said``, at least one."""
-    n = len("".join(said))
-    return next((k for k in range(max(1, n), len(run)) if decode(run[:k], model, SPELT, cost).split() == said), max(1, min(n, len(run))))
-
-
-def spaced(tokens: list[str], model: CharModel) -> list[str]:
-    """The words that runs of single characters spell out; of each run as several costs of a break read it, and as one word."""
-    runs = ["".join(map(_single, tokens[i:j])) for i, j in _spelt(tokens)]
-    return [w for r in runs for w in dict.fromkeys([*(w for c in BREAKS for w in _respelt(r, model, c)), decode(r, model)]) if w]
+def spaced(text: str, model: CharModel) -> list[str]:
+    """The words that a lower-case text's runs of single characters spell out; of each run as several costs of a break read it, and as one word."""
+    return [w for _, _, run in _spelt(text) for w in dict.fromkeys([*(w for c in BREAKS for w in decode(run, model, SPELT, c).split()), decode(run, model)]) if w]
 
 
 def restore(text: str | None, model: CharModel) -> str:
     """The text with disguised words undone, in lower case, words joined by a space."""
-    tokens = (text or "").lower().split()
+    said = (text or "").lower()
     out: list[str] = []
     at = 0
-    for i, j in [*_spelt(tokens), (len(tokens), len(tokens))]:
-        for t in tokens[at:i]:
+    for lo, hi, run in [*_spelt(said), (len(said), len(said), "")]:
+        for t in said[at:lo].split():
             words = words_of(t, model)
             out += words[:1] if t.isalpha() else words
-        out += _respelt("".join(map(_single, tokens[i:j])), model) if j > i else []
-        at = j
+        out += decode(run, model, SPELT).split()
+        at = hi
     return " ".join(out)
 
 
@@ -202,19 +225,17 @@ def features_of(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k))
 
 
-def _doc_features(text: str | None, model: CharModel, seen: dict[str, tuple[str, ...]], known: dict[str, float] | dict[str, int] | None = None) -> set[str]:
-    """The features of a text, of those ``known`` if given. ``seen`` remembers what each token gave."""
-    tokens = (text or "").lower().split()
-    distinct, out = set(tokens), set()
-    for t in distinct:
+def _doc_features(text: str | None, model: CharModel, seen: dict[str, tuple[str, ...]], known: dict[str, float] | dict[str, int] | None = None, reach: Reach | None = None) -> set[str]:
+    """The features of a text, of those ``known`` if given, with their ``reach``. ``seen`` remembers what each token gave."""
+    said, out = (text or "").lower(), set()
+    for t in set(said.split()):
         if (f := seen.get(t)) is None:
             if len(seen) > REMEMBERED:
                 seen.clear()
-            f = seen[t] = tuple(x for w in words_of(t, model) for x in features_of(w) if known is None or x in known)
+            f = seen[t] = tuple(x for w in words_of(t, model, reach) for x in features_of(w) if known is None or x in known)
         if f:
             out.update(f)
-    if any(map(_single, distinct)):
-        out.update(x for w in spaced(tokens, model) for x in features_of(w) if known is None or x in known)
+    out.update(x for w in spaced(said, model) for x in features_of(w) if known is None or x in known)
     return out
 
 
@@ -246,11 +267,8 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _fit(rows: list[tuple[list[int], int]], k: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps, with a little shrinkage."""
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    col = np.array([x for f, _ in rows for x in f], np.int64)
-    y = np.array([t for _, t in rows], np.float64)
+def _fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient steps, with a little shrinkage; each row's features as pairs (row, column)."""
     w, bias, m, v = np.zeros(k), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, 401):
         p = 1 / (1 + np.exp(-(bias + np.bincount(row, weights=w[col], minlength=len(y)))))
@@ -261,28 +279,33 @@ def _fit(rows: list[tuple[list[int], int]], k: int) -> tuple[np.ndarray, float]:
     return w, float(bias)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, apart: float = APART) -> ToxicityModel:
     """Fits on at most ``fit_rows`` rows of ``labels`` (doc_id, toxic), the first by a hash of doc_id.
 
-    Labels other than 0 and 1 and null ids count for nothing; of repeated labels the larger counts. The character
-    model counts all texts. Without labels of both kinds every score is 0 or 1 at the share of positives, 0 if none.
+    Labels other than 0 and 1 and null ids count for nothing; of repeated labels the larger counts, of rows of the same
+    doc_id the text with the least hash. The character model counts all texts. Words and beginnings whose shares differ by
+    ``apart`` standard errors are weighed, however many. Null texts are empty. Without labels of both kinds every score
+    is 0 or 1 at the share of positives, 0 if none.
     """
     spark = tuned(docs)
     chars = CharModel.of(char_counts(docs))
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    sample = spark.createDataFrame(sample.collect(), "_id long, _toxic int")  # bounded by fit_rows
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "_id").select("text", "_toxic")
+    sample = spark.createDataFrame(sample.toPandas(), "_id long, _toxic int")  # bounded by fit_rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
+    rows = written(texts.groupBy("_id", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "_toxic"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
         seen: dict[str, tuple] = {}
+
         def sums() -> pa.RecordBatch:
             keys = list(by[0].keys() | by[1].keys())
             out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())], ["feature", "pos", "neg"])
             by[0].clear()
             by[1].clear()
             return out
+
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("_toxic").to_pylist()):
                 by[y].update(_doc_features(text, chars, seen))
@@ -290,26 +313,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
                 yield sums()
         yield sums()
 
-    n = {t: c for t, c in sample.groupBy("_toxic").count().collect()}
+    n = dict(rows.groupBy("_toxic").count().collect())
     pos, neg = max(1, n.get(1, 0)), max(1, n.get(0, 0))
     df = rows.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     gap = F.col("pos") / pos - F.col("neg") / neg
     spread = F.sqrt((F.col("pos") + F.col("neg") + 1) / (pos + neg) * (1 / pos + 1 / neg))
-    best = df.where(F.col("pos") + F.col("neg") >= 2).select("feature", (F.abs(gap) / spread).alias("z")).orderBy(F.desc("z"), "feature").limit(features).collect()
-    index = {r["feature"]: i for i, r in enumerate(best)}
+    found = df.where(F.col("pos") + F.col("neg") >= 2).where(F.abs(gap) / spread >= apart).select("feature").toPandas()["feature"]
+    index = {f: i for i, f in enumerate(sorted(found))}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple] = {}
+        reach = Reach(index)
         for b in batches:
-            found = [sorted(index[f] for f in _doc_features(t, chars, seen, index)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column("_toxic")], ["f", "y"])
+            own = [sorted(index[f] for f in _doc_features(t, chars, seen, index, reach)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column("_toxic")], ["f", "y"])
 
-    fitted = [(list(r["f"]), r["y"]) for r in rows.mapInArrow(sparse, "f array<int>, y int").collect()]
-    if not any(y for _, y in fitted):
+    fitted = rows.mapInArrow(sparse, "f array<int>, y int").toArrow().combine_chunks()  # fit_rows at most
+    forget(rows)
+    y = fitted.column("y").to_numpy().astype(np.float64)
+    if not y.any():
         return ToxicityModel(chars, {}, -50.0)
-    if all(y for _, y in fitted):
+    if y.all():
         return ToxicityModel(chars, {}, 50.0)
-    w, bias = _fit(fitted, len(index))
+    own = fitted.column("f").combine_chunks()
+    w, bias = _fit(np.repeat(np.arange(len(y)), np.diff(own.offsets.to_numpy())), own.flatten().to_numpy(), y, len(index))
     return ToxicityModel(chars, {f: float(w[i]) for f, i in index.items()}, bias)
 
 
@@ -319,9 +346,10 @@ def _scorer(model: ToxicityModel):
 
     def make():
         seen: dict[str, tuple[str, ...]] = {}
+        reach = Reach(weights)
 
         def scores(texts: list[str | None]) -> list[float]:
-            z = (bias + sum(weights[x] for x in sorted(_doc_features(t, chars, seen, weights))) for t in texts)
+            z = (bias + sum(weights[x] for x in sorted(_doc_features(t, chars, seen, weights, reach))) for t in texts)
             return [1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) for x in z]
 
         return scores
@@ -344,7 +372,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, at: float = 0.5) -> DataFrame:
-    """``docs`` without those that score ``at`` or more."""
+    """``docs`` without those that score ``at`` or more: all columns as they are, null and empty texts by their score, repeated rows alike."""
     make = _scorer(model)
 
     def judge():
