@@ -1,15 +1,19 @@
 """Main text of web pages: boosted trees judge the DOM's block nodes, a decoding over the tree keeps them consistent.
 
-A page is read into a flat tree of its block elements. Each node has features of its subtree (density of text, links
+A page is read into a flat tree of its block elements, and of those inline elements whose attributes speak of something
+else than the article; reading takes time in proportion to the page, however broken it is. Each node has features of its subtree (density of text, links
 and tags), of its attributes, its depth and its siblings. The trees give the probability that a node is main text.
 The decoding then picks for every node one of three states: all of it is main text, none of it is, or its children
-differ; of all labellings without contradiction between a node and what stands below, the likeliest wins.
+differ; of all labellings without contradiction between a node and what stands below, the likeliest wins. An inline
+element that isn't main text leaves its block's text, which stays one block.
 The classifier is fitted on pages that this module makes up, in many layouts, so that it needs no labelled pages.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as references
+import itertools
 import random
 import re
 from collections import Counter
@@ -33,7 +37,9 @@ MIXED = 0.4
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head svg math iframe object select button textarea option title canvas audio video datalist".split())
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
+# An element that ends open ones of the same sort, unless one of the others stands between.
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr"))}
+_HOLDS_P = ("td", "th", "table", "li")
 
 #: Kinds of words in class, id, role and element names.
 KINDS = {
@@ -53,155 +59,254 @@ _TAG_KIND = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer"
 _TAGS = ("p", "div", "section", "article", "main", "li", "ul", "ol", "h1", "h2", "h3", "h4", "td", "table", "blockquote", "pre", "figcaption", "dd", "body", "form")
 _NK = len(KINDS)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Inline elements of these kinds are nodes.
+_JUDGED = sum(1 << list(KINDS).index(k) for k in ("nav", "header", "footer", "aside", "ad", "notice", "comment", "form", "share"))
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)")
+_PLAIN = re.compile(r"[^<>\"']*")
 _ATTR = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "select", "button", "math", "object", "canvas", "audio", "video", "datalist")}
+_HEAD_END = re.compile(r"</head\b|<body\b", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "select", "button", "math", "object", "canvas", "audio", "video", "datalist")}
 
 
 class Page:
-    """A page's block nodes in document order: parallel lists, a parent's index below its children's."""
+    """A page's nodes in document order: parallel lists, a parent's index below its children's."""
 
-    __slots__ = ("depth", "heads", "images", "inputs", "kinds", "linked", "mark", "parent", "segments", "tag", "tags")
+    __slots__ = ("depth", "images", "inline", "inputs", "kinds", "linked", "mark", "parent", "segments", "tag", "tags")
 
     def __init__(self):
-        self.tag, self.parent, self.depth, self.kinds, self.mark = [], [], [], [], []
-        self.tags, self.linked, self.inputs, self.images, self.heads = [], [], [], [], []
-        self.segments: list[tuple[int, str]] = []  # block node and text, white space as in a paragraph
+        self.tag, self.parent, self.depth, self.kinds, self.mark, self.inline = [], [], [], [], [], []
+        self.tags, self.linked, self.inputs, self.images = [], [], [], []
+        self.segments: list[list[tuple[int, str]]] = []  # blocks of text: pieces, each with its node
 
-    def add(self, tag: str, parent: int, kinds: int, mark: str | None) -> int:
+    def add(self, tag: str, parent: int, kinds: int, mark: str | None, inline: bool = False) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.kinds.append(kinds)
         self.mark.append(mark if mark is not None else self.mark[parent] if parent >= 0 else None)
+        self.inline.append(inline)
         for x in (self.tags, self.linked, self.inputs, self.images):
             x.append(0)
         return len(self.tag) - 1
 
+    def texts(self) -> list[str]:
+        """All blocks of text."""
+        return [t for t in (_joined(s) for s in self.segments) if t]
+
+
+def _joined(pieces: list[tuple[int, str]]) -> str:
+    return _SPACE.sub(" ", "".join(t for _, t in pieces)).strip()
+
 
 def _kinds(tag: str, attrs: str) -> tuple[int, str | None]:
     """The kinds of words in an element's name and attributes, as bits; the mark of a made-up page."""
     bits, mark = 0, None
     if tag in _TAG_KIND:
         bits |= 1 << _KIND_OF[_TAG_KIND[tag]]
+    elif "-" in tag:
+        bits |= _kinds_of(tag)
     if attrs:
         for m in _ATTR.finditer(attrs):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "data-y":
                 mark = value
                 continue
-            for token in value.split():
-                for w in {token.lower(), *(x.lower() for x in _WORD.findall(token))}:
-                    if (k := _KIND_OF.get(w)) is not None:
-                        bits |= 1 << k
+            bits |= _kinds_of(value)
     return bits, mark
 
 
+def _kinds_of(names: str) -> int:
+    bits = 0
+    for token in names.split():
+        for w in {token.lower(), *(x.lower() for x in _WORD.findall(token))}:
+            if (k := _KIND_OF.get(w)) is not None:
+                bits |= 1 << k
+    return bits
+
+
+class _Ends:
+    """Where tags end, found in time in proportion to the text: a place from which a tag was seen not to end is not tried again."""
+
+    def __init__(self, text: str):
+        self.text, self.dead, self.next_gt, self.next_lt = text, set(), -1, -1
+        self.last = {q: text.rfind(q) for q in "\"'"}
+
+    def gt(self, at: int) -> int:
+        """The next > from a place on, else the end."""
+        if self.next_gt < at:
+            found = self.text.find(">", at)
+            self.next_gt = found if found >= 0 else len(self.text)
+        return self.next_gt
+
+    def lt(self, at: int) -> int:
+        if self.next_lt < at:
+            found = self.text.find("<", at)
+            self.next_lt = found if found >= 0 else len(self.text)
+        return self.next_lt
+
+    def of_tag(self, at: int) -> tuple[int, int]:
+        """Where the attributes from a place on end, and where text goes on. Quoted values hold anything; a tag that isn't closed ends before the next one."""
+        text, seen, k = self.text, [], at
+        while k not in self.dead:
+            seen.append(k)
+            k = _PLAIN.match(text, k).end()
+            if k == len(text) or text[k] == "<":
+                break
+            if text[k] == ">":
+                return k, k + 1
+            k = text.find(text[k], k + 1) + 1 if k < self.last[text[k]] else k + 1  # a quote without an end is none
+        self.dead.update(seen)
+        gt, lt = self.gt(at), self.lt(at)
+        return (gt, min(gt + 1, len(text))) if gt <= lt else (lt, lt)
+
+
+class _Open:
+    """Open elements, with the places of each name, so that none is searched for."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int, bool]] = []  # name, node or -1, whether a block
+        self.at: dict[str, list[int]] = {}
+        self.nodes: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int, block: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.items))
+        if block:
+            self.blocks.append(len(self.items))
+        if node >= 0:
+            self.nodes.append(node)
+        self.items.append((tag, node, block))
+
+    def pop_to(self, depth: int) -> bool:
+        """Closes what is open from a depth on; whether a block was."""
+        ended = False
+        while len(self.items) > depth:
+            tag, node, block = self.items.pop()
+            if tag:
+                self.at[tag].pop()
+            if block:
+                self.blocks.pop()
+                ended = True
+            if node >= 0:
+                self.nodes.pop()
+        return ended
+
+    def last(self, *tags: str) -> int:
+        """The depth of the latest open element of some names, else -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def first_after(self, depth: int, tags: tuple[str, ...]) -> int:
+        """The depth of the first open element of some names beyond a depth, else -1."""
+        found = [x[k] for t in tags if (x := self.at.get(t)) and (k := bisect.bisect_right(x, depth)) < len(x)]
+        return min(found, default=-1)
+
+
 def parse(text: str) -> Page:
     """Reads HTML, well-formed or not: unclosed and stray tags, comments, raw text elements, character references."""
-    page = Page()
-    node = page.add("html", -1, 0, None)
-    stack: list[tuple[str, int]] = [("html", node)]
-    open_tags: Counter[str] = Counter()
-    pieces: list[str] = []
-    owner, at, end = node, 0, len(text)
+    page, opened, tags = Page(), _Open(), _Ends(text)
+    opened.push("html", page.add("html", -1, 0, None), True)
+    pieces: list[tuple[int, str]] = []
+    unended: set[str] = set()  # elements whose end isn't there any more
+    at, end = 0, len(text)
 
     def flush() -> None:
         nonlocal pieces
         if pieces:
-            said = _SPACE.sub(" ", "".join(pieces)).strip()
-            if said:
-                page.segments.append((owner, said))
+            if any(not t.isspace() for _, t in pieces):
+                page.segments.append(pieces)
             pieces = []
 
     def say(raw: str) -> None:
         if raw:
-            raw = references.unescape(raw) if "&" in raw else raw
-            pieces.append(raw)
-            if open_tags["a"]:
-                page.linked[owner] += len(raw.strip())
+            node = opened.nodes[-1]
+            pieces.append((node, references.unescape(raw) if "&" in raw else raw))
+            if opened.at.get("a"):
+                page.linked[node] += len(raw.strip())
 
     def pop_to(depth: int) -> None:
-        nonlocal owner
-        blocks = False
-        while len(stack) > depth:
-            tag, i = stack.pop()
-            open_tags[tag] -= 1
-            blocks |= i >= 0
-        if blocks:
+        if opened.pop_to(depth):
             flush()
-            owner = next(i for _, i in reversed(stack) if i >= 0)
 
     while at < end:
-        m = _TOKEN.search(text, at)
-        if not m:
-            say(text[at:])
+        lt = tags.lt(at)
+        say(text[at:lt])
+        at = lt
+        if at == end:
             break
-        say(text[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+        name = _NAME.match(text, at)
         if not name:
+            if text.startswith("<!--", at):
+                stop = text.find("-->", at + 4)
+                at = stop + 3 if stop >= 0 else end
+            elif text.startswith(("<!", "<?", "</"), at):
+                at = min(tags.gt(at) + 1, end)
+            else:
+                say("<")
+                at += 1
             continue
-        tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if closing:
+        stop, at = tags.of_tag(name.end())
+        tag, attrs = name[2].lower(), text[name.end() : stop]
+        if name[1]:
             if tag in BLOCK:
                 flush()
-            if open_tags[tag] > 0 and tag not in ("html", "body"):
-                depth = len(stack) - 1
-                while stack[depth][0] != tag:
-                    depth -= 1
-                pop_to(depth)
+            depth = opened.last(tag)
+            if depth >= 0 and tag not in ("html", "body"):
+                if opened.items[depth][2] or depth > opened.blocks[-1]:
+                    pop_to(depth)
+                else:  # an inline element that a block overlaps ends for itself; the block goes on
+                    opened.at[tag].pop()
+                    opened.items[depth] = ("", *opened.items[depth][1:])
             continue
-        page.tags[owner] += 1
+        page.tags[opened.nodes[-1]] += 1
         if tag in _RAW_END or tag == "head":
             if tag in ("button", "select", "textarea"):
-                page.inputs[owner] += 1
-            if tag == "head":
-                stop = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(text, at)
-                at = (stop.start() if stop[0].lower().startswith("<body") else stop.end()) if stop else at
-            elif not attrs.rstrip().endswith("/"):
-                stop = _RAW_END[tag].search(text, at)
-                at = stop.end() if stop else at if tag in ("button", "svg", "noscript", "template", "select", "object") else end
+                page.inputs[opened.nodes[-1]] += 1
+            if tag in unended:
+                found = None
+            elif tag == "head":
+                found = _HEAD_END.search(text, at)
+            else:
+                found = None if attrs.rstrip().endswith("/") else _RAW_END[tag].search(text, at)
+                if attrs.rstrip().endswith("/"):
+                    continue
+            if not found:
+                unended.add(tag)
+                at = end if tag in ("script", "style", "textarea", "title", "iframe", "math", "canvas", "audio", "video", "datalist") else at
+            else:
+                at = found.start() if tag == "head" and found[0].lower().startswith("<body") else tags.of_tag(found.end())[1]
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                pieces.append(" ")
+                pieces.append((opened.nodes[-1], " "))
                 if tag == "hr":
                     flush()
-            page.inputs[owner] += tag == "input"
-            page.images[owner] += tag == "img"
+            page.inputs[opened.nodes[-1]] += tag == "input"
+            page.images[opened.nodes[-1]] += tag == "img"
             continue
         if tag in UNSEEN:
             continue
-        if tag in BLOCK:
+        closed = attrs.rstrip().endswith("/")
+        if tag in BLOCK or ("-" in tag and not closed and opened.last("p") <= opened.last(*_HOLDS_P)):  # an element of the page's own, outside a paragraph
             flush()
-            if tag in ("html", "body") and open_tags[tag] + (tag == "html") > 0:
+            if tag in ("html", "body") and (tag == "html" or opened.at.get(tag)):
                 continue
-            if open_tags["p"] > 0:  # a block ends an open paragraph, if no cell stands between
-                depth = len(stack) - 1
-                while stack[depth][0] not in ("p", "td", "th", "table", "li"):
-                    depth -= 1
-                if stack[depth][0] == "p":
-                    pop_to(depth)
+            depth = opened.last("p")
+            if depth > opened.last(*_HOLDS_P):  # a block ends an open paragraph, if no cell stands between
+                pop_to(depth)
             if tag in _CLOSES:
                 same, bound = _CLOSES[tag]
-                depth, found = len(stack) - 1, None
-                while depth > 0 and stack[depth][0] not in bound:
-                    if stack[depth][0] in same:
-                        found = depth
-                    depth -= 1
-                if found:
+                found = opened.first_after(opened.last(*bound), same)
+                if found > 0:
                     pop_to(found)
             bits, mark = _kinds(tag, attrs)
-            owner = page.add(tag, owner, bits, mark)
-            stack.append((tag, owner))
-        else:
-            if attrs.rstrip().endswith("/"):
-                continue
-            stack.append((tag, -1))
-        open_tags[tag] += 1
+            opened.push(tag, page.add(tag, opened.nodes[-1], bits, mark), True)
+        elif not closed:
+            bits, mark = _kinds(tag, attrs) if attrs or "-" in tag else (0, None)
+            judged = bits & _JUDGED or mark is not None
+            opened.push(tag, page.add(tag, opened.nodes[-1], bits, mark, True) if judged else -1, False)
     flush()
     return page
 
@@ -212,13 +317,15 @@ def features(page: Page) -> np.ndarray:
     chars, segs, stops, upper = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     first, last = np.full(n, np.inf), np.zeros(n)
     at = 0
-    for i, s in page.segments:
-        chars[i] += len(s)
-        segs[i] += 1
-        stops[i] += s.count(". ") + s.count(", ") + (s[-1] in ".!?")
-        first[i] = min(first[i], at)
-        at += len(s)
-        last[i] = at
+    for pieces in page.segments:
+        for i, run in itertools.groupby(pieces, key=lambda p: p[0]):
+            if s := _joined(list(run)):
+                chars[i] += len(s)
+                segs[i] += 1
+                stops[i] += s.count(". ") + s.count(", ") + (s[-1] in ".!?")
+                first[i] = min(first[i], at)
+                at += len(s)
+                last[i] = at
     parent = page.parent
     own = chars.copy()
     tags, linked, inputs, images = (np.array(x, np.float64) for x in (page.tags, page.linked, page.inputs, page.images))
@@ -259,15 +366,21 @@ def features(page: Page) -> np.ndarray:
     columns += [(kinds >> k & 1).astype(np.float64) for k in range(_NK)]
     columns += [(above >> k & 1).astype(np.float64) for k in range(_NK)]
     columns += [np.array([t == g for t in page.tag], np.float64) for g in _TAGS]
+    columns.append(np.array(page.inline, np.float64))
     return np.stack(columns, axis=1)
 
 
+def _speaking(page: Page) -> set[int]:
+    """Nodes with text of their own."""
+    return {i for pieces in page.segments for i, t in pieces if not t.isspace()}
+
+
 def decoded(page: Page, p: np.ndarray) -> list[bool]:
     """For each node whether its own text is main text, in the likeliest labelling of the tree without contradictions."""
     n = len(page.tag)
     yes, no = np.log(np.clip(p, 1e-6, 1)).tolist(), np.log(np.clip(1 - p, 1e-6, 1)).tolist()
     speaks = [False] * n
-    for i, _ in page.segments:
+    for i in _speaking(page):
         speaks[i] = True
     silent = not page.segments
     whole, none, mixed = [0.0] * n, [0.0] * n, [0.0] * n
@@ -297,7 +410,8 @@ def decoded(page: Page, p: np.ndarray) -> list[bool]:
 
 def text_of(page: Page, p: np.ndarray) -> str:
     main = decoded(page, p)
-    return "\n\n".join(s for i, s in page.segments if main[i])
+    kept = (_joined([(i, t) for i, t in pieces if main[i]]) for pieces in page.segments)
+    return "\n\n".join(t for t in kept if t)
 
 
 class _Maker:
@@ -328,7 +442,14 @@ class _Maker:
         each = [f'<a href="/{i}">{self.words(r.randint(1, 4))}</a>' for i in range(n)]
         return "<ul>" + "".join(f"<li>{a}</li>" for a in each) + "</ul>" if wrap < 0.7 else r.choice((" | ", " ", "<br>")).join(each)
 
+    def inline(self, kind: str, main: bool) -> str:
+        """An element within a line of text."""
+        r, tag = self.r, self.r.choice(("span", "span", "a", "em", "b", "small", f"x-{self.r.choice(KINDS[kind].split())}"))
+        return f'<{tag} class="{r.choice(KINDS[kind].split())}" data-y="{int(main)}">{self.sentence(1, 12)}</{tag}>'
+
     def other(self, kind: str, open_tag: str, inner: str) -> str:
+        if self.r.random() < 0.06:  # an element of the page's own
+            open_tag = f"{self.r.choice(('my', 'app', 'x', 'site'))}-{self.r.choice(KINDS[kind].split())}"
         return f'<{open_tag}{self.name(kind)} data-y="0">{inner}</{open_tag}>'
 
     def rest(self, kind: str) -> str:
@@ -359,6 +480,9 @@ class _Maker:
             if r.random() < 0.25:
                 w = s.split(" ")
                 s = f"{w[0]} <a href=#>{' '.join(w[1:3])}</a> {' '.join(w[3:])}"
+            if r.random() < 0.1:  # something else in the line, or a part of it whose class sounds like something else
+                kind = r.choice(("ad", "ad", "ad", "notice", "comment", "form", "share"))
+                s = r.choice((f"{s} {self.inline(kind, False)}", f"{self.inline(kind, False)} {s}")) if r.random() < 0.6 else f"{self.sentence(2, 8)} {self.inline(r.choice(('header', 'footer', 'nav', 'aside')), True)} {s}"
             return r.choice((f"<p>{s}</p>", f"<p>{s}</p>", f"<p>{s}</p>", f"<p>{s}", f"<p><b>{s}<br>", f"<div>{s}</div>", f"<p><span>{s}</span></p>"))
         if k < 0.82:
             return f"<h{(h := r.randint(2, 4))}>{self.words(r.randint(2, 7))}</h{h}>"
@@ -378,7 +502,7 @@ class _Maker:
                 body.insert(r.randint(0, len(body)), self.rest(kind))
         title = f"<h1>{self.words(r.randint(2, 9))}</h1>" if r.random() < 0.85 else ""
         inner = title + some("share", 0.2) + "".join(body) + some("share", 0.1) + some("comment", 0.08)
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
+        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", "article", "div", "my-article"))
         main = f'<{tag}{self.name("article") if r.random() < 0.6 else ""} data-y="1">{inner}</{tag}>'
         main = f"<table><tr>{some('aside', 0.5)}{main}</tr></table>" if tag == "td" else main
         for _ in range(r.choice((0, 0, 0, 1, 1, 2, 3))):
@@ -398,11 +522,11 @@ class Extractor(NamedTuple):
     trees: boosting.Boosted
 
     def texts(self, pages: list[str | None]) -> list[str]:
-        """The main texts of pages, judged together."""
+        """The main texts of pages, judged together; of null and empty pages, and such without main text, empty ones."""
         parsed = [parse(p or "") for p in pages]
         x = [features(p) for p in parsed]
         prob = self.trees.probability(np.concatenate(x)) if x else np.zeros(0)
-        ends = np.cumsum([len(f) for f in x])
+        ends = np.cumsum([len(f) for f in x], dtype=np.int64)
         return [text_of(p, prob[e - len(f) : e]) for p, f, e in zip(parsed, x, ends)]
 
 
@@ -410,7 +534,7 @@ def labelled(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """Which nodes of a made-up page are wholly main text or wholly not, and which of the two."""
     n = len(page.tag)
     yes, no = np.zeros(n, bool), np.zeros(n, bool)
-    for i, _ in page.segments:
+    for i in _speaking(page):
         (yes if page.mark[i] == "1" else no)[i] = True
     for i in range(n - 1, 0, -1):
         yes[page.parent[i]] |= yes[i]
@@ -420,6 +544,7 @@ def labelled(page: Page) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_extractor(pages: int = MADE_PAGES, seed: int = SEED) -> Extractor:
+    """Trees fitted on the nodes of so many made-up pages; the same for the same seed. It reads no table."""
     maker, x, y = _Maker(seed), [], []
     for _ in range(pages):
         page = parse(maker.page())
