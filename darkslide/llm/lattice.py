@@ -22,7 +22,7 @@ from .common import forget, grouped, labels_of, tuned, written
 from .graph import connected_components
 
 #: Rows of a cell that one task takes; larger cells are dealt out by pairs of their parts.
-PART = 512
+PART = 256
 
 
 class Lattice(NamedTuple):
