@@ -229,19 +229,30 @@ class KeyTable:
         return out
 
 
-_BLOCKED = "split int, block int, doc_id long, text string, trains boolean"
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """Rows as one compressed value: texts move as a third of their bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packs: pa.Array) -> Iterator[pa.RecordBatch]:
+    for p in packs:
+        yield from pa.ipc.open_stream(p.as_buffer())
 
 
 def _blocked(size: int):
-    """Rows with the number of their split, and of their block in it; a text stays whole."""
+    """Packs of rows with the number of their split, and of their block in it; a text stays whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, full = TaskContext.get().partitionId(), 0
         for b in batches:
-            ends = full + np.cumsum(np.nan_to_num(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)))
-            block = np.append(full, ends[:-1]) // size
-            full = float(ends[-1]) if len(ends) else full
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, split, np.int32)), pa.array(block.astype(np.int32)[: b.num_rows]), *b.columns], ["split", "block", *b.schema.names])
+            ends = full + np.cumsum(np.nan_to_num(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)).astype(np.int64))
+            block = (np.append(full, ends)[: b.num_rows] // size).astype(np.int32)
+            full = int(ends[-1]) if len(ends) else full
+            for lo, hi in zip(at := np.flatnonzero(np.append(True, block[1:] != block[:-1])[: b.num_rows]), [*at[1:], b.num_rows]):
+                yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array(block[lo : lo + 1]), pa.array([_packed(b.slice(lo, hi - lo))], pa.binary())], ["split", "block", "pack"])
 
     return run
 
@@ -275,20 +286,21 @@ def _gathered(parts: int, depth: int):
                 if at is not None:
                     yield chunks(at, words, held, texts)
                 at, words, held, texts, size = block, Counter(), [], 0, 0
-            for wanted in (True, False):
-                some = [words_of(t) for t, x in zip(b.column("text").to_pylist(), b.column("trains").to_pylist()) if x == wanted]
-                if not some:
-                    continue
-                keys = np.sort(grams(some, depth)[0])
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                held.append((keys[first], np.diff(np.append(first, len(keys))) if wanted else np.zeros(len(first), np.int64)))
-                size += len(first)
-                for w in some:
-                    words.update(w if wanted else dict.fromkeys(w, 0))
-                texts += wanted * len(some)
-            if size > MERGE:
-                held = [_merged(held)]
-                size = 0
+            for rows in _unpacked(b.column("pack")):
+                for wanted in (True, False):
+                    some = [words_of(t) for t, x in zip(rows.column("text").to_pylist(), rows.column("trains").to_pylist()) if x == wanted]
+                    if not some:
+                        continue
+                    keys = np.sort(grams(some, depth)[0])
+                    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                    held.append((keys[first], np.diff(np.append(first, len(keys))) if wanted else np.zeros(len(first), np.int64)))
+                    size += len(first)
+                    for w in some:
+                        words.update(w if wanted else dict.fromkeys(w, 0))
+                    texts += wanted * len(some)
+                if size > MERGE:
+                    held = [_merged(held)]
+                    size = 0
         if at is not None:
             yield chunks(at, words, held, texts)
 
@@ -402,13 +414,14 @@ def _scored(n_train: int, distinct: int, texts: int, depth: int):
                 ready = KeyTable(join(both[0], 0, np.uint64), join(both[0], 1, float)), _WordLogs(dict(zip(join(both[1], 0, np.uint64).tolist(), join(both[1], 1, float).tolist())), total)
                 chunks = []
             logs, base = ready
-            some = [words_of(t) for t in b.column("text").to_pylist()]
-            keys, sizes = grams(some, depth)
-            score = np.add.reduceat(logs[keys], np.cumsum(sizes) - sizes)
             unknown, last = math.log10(0.5 / total), math.log10((texts + 0.5) / total)
-            each = [list(map(base.__getitem__, w)) for w in some]
-            out = [(len(e) + 1, len(e) - e.count(unknown) + (texts > 0), math.fsum(e) + last) for e in each]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))), pa.array(score), pa.array(sizes), pa.array(-score / (sizes * math.log10(2)))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "bits_per_byte"])
+            for rows in _unpacked(b.column("pack")):
+                some = [words_of(t) for t in rows.column("text").to_pylist()]
+                keys, sizes = grams(some, depth)
+                score = np.add.reduceat(logs[keys], np.cumsum(sizes) - sizes)
+                each = [list(map(base.__getitem__, w)) for w in some]
+                out = [(len(e) + 1, len(e) - e.count(unknown) + (texts > 0), math.fsum(e) + last) for e in each]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))), pa.array(score), pa.array(sizes), pa.array(-score / (sizes * math.log10(2)))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     return run
 
@@ -428,10 +441,10 @@ def score_texts(docs: DataFrame, trains, depth: int = DEPTH, block: int = BLOCK)
         raise ValueError("depth must be from 3 to 7")
     tuned(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(True)).alias("trains"))
-    blocks = written(src.mapInArrow(_blocked(block), _BLOCKED))
+    blocks = written(src.mapInArrow(_blocked(block), "split int, block int, pack binary"))
     splits = (blocks.agg(F.max("split")).first()[0] or 0) + 1
     parts = max(16, 2 * splits)  # the chunks of all blocks for a part are as much at every size
-    sent = written(blocks.select("split", "block", "text", "trains").mapInArrow(_gathered(parts, depth), "split int, block int, kind int, part int, keys binary, vals binary, texts long"))
+    sent = written(blocks.mapInArrow(_gathered(parts, depth), "split int, block int, kind int, part int, keys binary, vals binary, texts long"))
     by = lambda df, c: df.repartitionById(parts, F.col(c)).sortWithinPartitions(c)
     summed = written(by(sent.select("part", "kind", "keys", "vals"), "part").mapInArrow(_summed(parts, depth), "sub int, keys binary, vals binary, total long, distinct long"))
     texts = int(sent.agg(F.sum("texts")).first()[0] or 0)
@@ -443,8 +456,8 @@ def score_texts(docs: DataFrame, trains, depth: int = DEPTH, block: int = BLOCK)
     back = written(by(sent.select("kind", "split", "block", "part", "keys", "vals").unionByName(logs), "part").mapInArrow(_returned, "split int, block int, kind int, keys binary, vals binary"))
     forget(sent, summed)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    rows = back.select("split", "block", F.lit(0).alias("is_text"), "kind", "keys", "vals", none("doc_id", "long"), none("text", "string"))
-    rows = rows.unionByName(blocks.select("split", "block", F.lit(1).alias("is_text"), none("kind", "int"), none("keys", "binary"), none("vals", "binary"), "doc_id", "text"))
+    rows = back.select("split", "block", F.lit(0).alias("is_text"), "kind", "keys", "vals", none("pack", "binary"))
+    rows = rows.unionByName(blocks.select("split", "block", F.lit(1).alias("is_text"), none("kind", "int"), none("keys", "binary"), none("vals", "binary"), "pack"))
     n_train = total + texts
     out = rows.repartitionById(splits, F.col("split")).sortWithinPartitions("block", "is_text").drop("split")
     out = out.mapInArrow(_scored(n_train, distinct + (texts > 0), texts, depth), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, bits_per_byte double")
