@@ -4,12 +4,14 @@ Documents are cut into passages of words, weighed by TF-IDF over the words of th
 products with the passage matrix are summed over all tasks, gives the latent directions. Passages and benchmark items
 meet in that space by their cosine; where it suffices, or where they share words in a row, the longest common subsequence of their words decides, with a
 check that the item's last words, its answer, are there too. Every pass streams over the documents: nothing but
-sums over the benchmark's words goes to the driver, and no document is shuffled.
+sums over the benchmark's words goes to the driver, and no document is shuffled. The benchmark is taken in shards of a
+bounded number of words and segments, one after the other, so that what goes to each task is as large for any benchmark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +26,8 @@ from .common import tuned, written
 BLOCK = 16
 #: Words of an item that are searched for at once; longer items are searched for in segments.
 SEGMENT = 64
+#: Distinct words and segments of a shard of the benchmark, at most; an item that has more alone is a shard.
+SHARD_WORDS, SHARD_SEGMENTS = 60_000, 8_192
 #: Blocks that are searched at once.
 SEARCHED = 1024
 #: Latent directions.
@@ -147,10 +151,23 @@ def fit_latent(texts: DataFrame, words: list[str], items: list[list[str]], rank:
     total = float(df[0])
     idf = np.log((total + 1) / (df + 1)) + 0.5
     idf[0] = 0
-    own = np.zeros((len(items), n), np.float32)
-    for row, x in zip(own, items):
-        np.add.at(row, [index[w] for w in x], idf[[index[w] for w in x]])
-    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    rows = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    cell, times = np.unique(rows * n + np.array([index[w] for x in items for w in x], np.int64), return_counts=True)
+    row, col = cell // n, cell % n
+    value = times * idf[col]
+    value /= np.sqrt(np.bincount(row, weights=value**2, minlength=len(items)))[row]
+
+    def gram(basis: np.ndarray) -> np.ndarray:
+        """The items' matrix, transposed, times its product with the directions; only its entries are held."""
+        out, inner = np.zeros_like(basis), np.zeros((len(items), basis.shape[1]))
+        for lo in range(0, len(row), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            np.add.at(inner, row[at], value[at, None] * basis[col[at]])
+        for lo in range(0, len(row), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            np.add.at(out, col[at], value[at, None] * inner[row[at]])
+        return out
+
     weight = ITEMS_WEIGH * max(total, 1.0) / len(items)
     k = min(rank, n - 1)
     basis = np.random.default_rng(seed).normal(size=(n, k))
@@ -158,7 +175,7 @@ def fit_latent(texts: DataFrame, words: list[str], items: list[list[str]], rank:
     latent = Latent(words, idf, float(np.log(total + 1) + 0.5), basis)
 
     def image(basis: np.ndarray) -> np.ndarray:
-        return _passes(texts, words, latent._replace(directions=basis).table()) * idf[:, None] + weight * (own.T @ (own @ basis))
+        return _passes(texts, words, latent._replace(directions=basis).table()) * idf[:, None] + weight * gram(basis)
 
     basis = np.linalg.qr(image(basis))[0]  # the range of the words' co-occurrence
     seen = image(basis)
@@ -308,18 +325,46 @@ class _Searcher:
         return [(d, self.whole[item][0], *v) for (d, item), v in sorted(best.items())]
 
 
+_FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long"
+
+
+def shards(rows: Iterable[tuple[int, str | None]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items with words, as they come, in shards of a bounded size."""
+    held: list[tuple[int, list[str]]] = []
+    words: set[str] = set()
+    segments = 0
+    for i, text in rows:
+        if not (own := words_of(text)):
+            continue
+        if held and (len(words.union(own)) > SHARD_WORDS or segments + len(own) // SEGMENT + 1 > SHARD_SEGMENTS):
+            yield held
+            held, words, segments = [], set(), 0
+        held.append((int(i), own))
+        words.update(own)
+        segments += len(own) // SEGMENT + 1
+    if held:
+        yield held
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, limits: Thresholds = Thresholds(), rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_found, at_word) for each benchmark item that a document holds.
 
-    The benchmark, a small table by its nature, goes to every task; its size in words bounds all sums. Null and empty
-    texts hold nothing and are held by nothing, a null doc_id stays null, items of a null item_id are left out. Of an
-    item's places in a document the best counts; repeated rows count each. Empty tables give no rows.
+    The benchmark comes to the driver a shard at a time, and each shard goes to every task; the documents are read anew for
+    each. Null and empty texts hold nothing and are held by nothing, a null doc_id stays null, items of a null item_id are
+    left out. Of an item's places in a document the best counts; repeated rows count each. Very long texts and items
+    are searched whole. Empty tables give no rows; other columns are not read.
     """
     spark = tuned(docs)
-    items = [(int(r[0]), words_of(r[1])) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id").collect()]
-    items = [(i, w) for i, w in items if w]
-    if not items:
-        return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long")
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
+    found: list[DataFrame] = []
+    for items in shards(rows.toLocalIterator()):
+        if found:  # several shards: each is searched for before the next one comes
+            found[-1] = written(found[-1])
+        found.append(_find(docs, items, limits, rank))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)
+
+
+def _find(docs: DataFrame, items: list[tuple[int, list[str]]], limits: Thresholds, rank: int) -> DataFrame:
     words = sorted({w for _, x in items for w in x})
     texts = encoded(docs, words)
     latent = fit_latent(texts, words, [w for _, w in items], rank)
@@ -331,10 +376,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, limits: Thresholds
             ids = b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in zip(range(1, 6), (pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found", "at_word"])
 
-    return texts.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_share double, answer_found boolean, at_word long")
+    return texts.mapInArrow(run, _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Thresholds = Thresholds(), rank: int = RANK) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows of a null doc_id stay."""
+    """``docs`` without those that hold a benchmark item, all columns as they are; rows of a null doc_id stay, as nothing tells them apart."""
     found = written(find_contamination(docs, benchmark, limits, rank).select(F.col("doc_id").alias("_held")).distinct())
     return docs.join(found, docs["doc_id"] == found["_held"], "left_anti")
