@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ BINS = 1 << 16
 SAYS = 60.0
 #: Texts that a level of the host priors weighs as much as its parent.
 WEIGHT = 5.0
-#: Languages at most; there are fewer two-letter codes in use.
-LANGUAGES = 256
+#: Weights of a model, at most; with more than 256 languages each has fewer bins. More than the last are no languages.
+WEIGHTS, LANGUAGES = 1 << 24, 1 << 10
 
 _MARKUP = r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
 _DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})"
@@ -38,18 +39,22 @@ class TextModel(NamedTuple):
     logs: np.ndarray
 
 
-def bins(text: str) -> np.ndarray:
-    """The hashed byte trigrams of a text in lower case, digits as one, runs of white space as one space."""
+def bins(text: str, size: int = BINS) -> np.ndarray:
+    """The hashed byte trigrams of a text in lower case, digits as one, runs of white space as one space; in a power of two of bins."""
     b = " ".join(text.lower().split()).encode("utf-8", "replace")
     if not b:
         return np.zeros(0, np.uint16)
     x = np.frombuffer(b" " + b + b" ", np.uint8)
     x = np.where((x >= 48) & (x <= 57), np.uint8(48), x).astype(np.uint32)
-    return (((x[:-2] * 961 + x[1:-1]) * 961 + x[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.uint16)
+    return (((x[:-2] * 961 + x[1:-1]) * 961 + x[2:]) * np.uint32(2654435761) >> np.uint32(33 - size.bit_length())).astype(np.uint16)
 
 
 def fit_text_model(docs: DataFrame) -> TextModel:
-    """Counts trigrams by language over all rows of ``docs`` (text, lang). Rows of null lang or text count for nothing."""
+    """Counts trigrams by language over all rows of ``docs`` (text, lang), for all languages that they name.
+
+    Rows of null or empty lang or null text count for nothing, repeated rows count each. Beyond 256 languages trigrams share
+    bins, beyond 1,024 it refuses. An empty table gives a model of no languages.
+    """
     tuned(docs)
     src = docs.select(F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and lang <> '' and text is not null")
 
@@ -69,28 +74,34 @@ def fit_text_model(docs: DataFrame) -> TextModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bin", "n"])
 
     rows = written(src.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")))
-    languages = [r["lang"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    index = {x: i for i, x in enumerate(sorted(languages))}
-    counts = np.zeros((len(index), BINS))
-    for r in rows.collect():  # 256 languages of 65,536 bins at most
-        if r["lang"] in index:
-            counts[index[r["lang"]], r["bin"]] = r["n"]
+    named = rows.select("lang").distinct().limit(LANGUAGES + 1).toArrow().column("lang").to_pylist()
+    if len(named) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    languages = sorted(named)
+    size = BINS
+    while size * len(languages) > WEIGHTS:
+        size //= 2
+    found = rows.groupBy("lang", F.floor(F.col("bin") / (BINS // size)).cast("int").alias("bin")).agg(F.sum("n").alias("n")).toArrow()  # WEIGHTS at most
+    counts = np.zeros((len(languages), size))
+    if languages:
+        at = pc.index_in(found.column("lang"), value_set=pa.array(languages)).to_numpy()
+        counts[at, found.column("bin").to_numpy()] = found.column("n").to_numpy()
     common = counts.sum(axis=0) + 1
     common /= common.sum()
     logs = np.log((counts + 1000 * common) / (counts.sum(axis=1, keepdims=True) + 1000))
-    return TextModel(sorted(languages), np.ascontiguousarray(logs.T).astype(np.float32))
+    return TextModel(languages, np.ascontiguousarray(logs.T).astype(np.float32))
 
 
 def _heard(model: TextModel):
     """Each text's log likelihoods, tempered, highest 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.languages)
+        k, size = len(model.languages), len(model.logs)
         for b in batches:
             out = np.zeros((b.num_rows, k))
             for i, text in enumerate(b.column("text").to_pylist()):
-                if text and len(x := bins(text)):
-                    ll = model.logs[x].sum(axis=0, dtype=np.float64) if len(x) <= 1 << 18 else np.bincount(x, minlength=BINS) @ model.logs.astype(np.float64)
+                if text and len(x := bins(text, size)):
+                    ll = model.logs[x].sum(axis=0, dtype=np.float64) if len(x) <= 1 << 18 else np.bincount(x, minlength=size) @ model.logs.astype(np.float64)
                     out[i] = (ll - ll.max()) * min(1.0, SAYS / len(x))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), lists], [*(c for c in b.schema.names if c != "text"), "ll"])
