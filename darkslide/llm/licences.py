@@ -2,16 +2,15 @@
 
 A paragraph's word uni-, bi- and trigrams feed one logistic regression for each licence family. It is trained on the
 templates below: whole, cut, reworded and amid other words, against paragraphs of other words and of licence words
-out of order. On made-up paragraphs held out from training, a Platt scaling turns scores into probabilities, so that
-what is unlike all families comes out as unknown. A family is reported where its probability suffices and the best
-of its templates aligns with the paragraph; the two are told apart in the result.
+out of order, which are a class of their own: unknown. On made-up paragraphs held out from training, a Platt scaling
+turns each class's scores into probabilities. A family is reported where its probability suffices and isn't below that
+of unknown; the best of its templates, aligned with the paragraph, confirms it or doesn't, and the result tells which.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,15 +23,13 @@ from .common import tuned
 from .decontam import lcs
 
 #: Made-up paragraphs of each kind, and their seed.
-MADE, SEED = 80, 6
-#: A gram must stand in so many made-up paragraphs to count.
-LEAST = 3
+MADE, SEED = 160, 6
 #: Probability from which a family is named; below it the paragraph is unknown.
 SURE = 0.5
 #: Share of a template's words that a paragraph has in order, from which the template confirms the family.
 CONFIRMS = 0.7
 
-# Short notices by which licences are usually referred to.
+#: Short notices by which licences are usually referred to.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2.0",
@@ -126,10 +123,11 @@ def grams(words: list[str]) -> set[str]:
 
 class LicenceModel(NamedTuple):
     index: dict[str, int]
-    weights: np.ndarray  # families x (grams + 1)
-    scale: np.ndarray  # families x 2: slope and offset of the calibration
+    weights: np.ndarray  # families and unknown x (grams + 1)
+    scale: np.ndarray  # families and unknown x 2: slope and offset of the calibration
 
     def probabilities(self, words: list[str]) -> np.ndarray:
+        """Of each family, and last of none of them."""
         at = [self.index[g] for g in sorted(grams(words)) if g in self.index]
         z = self.weights[:, at].sum(axis=1) + self.weights[:, -1]
         return 1 / (1 + np.exp(-np.clip(self.scale[:, 0] * z + self.scale[:, 1], -40, 40)))
@@ -138,8 +136,9 @@ class LicenceModel(NamedTuple):
         """Families that some order of ``known`` words could be sure of: a bound, by all their grams that speak for one."""
         if (out := seen.get(known)) is None:
             at = [i for g, i in self.index.items() if known.issuperset(g.split())]
-            z = np.maximum(self.weights[:, at], 0).sum(axis=1) + self.weights[:, -1]
-            out = seen[known] = (self.scale[:, 0] <= 0) | (1 / (1 + np.exp(-np.clip(self.scale[:, 0] * z + self.scale[:, 1], -40, 40))) >= SURE)
+            z = (np.maximum(self.weights[:, at], 0).sum(axis=1) + self.weights[:, -1])[:-1]
+            slope, offset = self.scale[:-1].T
+            out = seen[known] = (slope <= 0) | (1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40))) >= SURE)
         return out
 
 
@@ -166,37 +165,55 @@ def _made(r: random.Random, n: int) -> list[tuple[list[str], int]]:
     return out
 
 
+class _Grams(NamedTuple):
+    """Paragraphs' grams as places of ones in a matrix, with a one for each paragraph at the end."""
+
+    row: np.ndarray
+    col: np.ndarray
+    rows: int
+    cols: int
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """Scores: paragraphs x classes."""
+        return np.stack([np.bincount(self.row, weights=w[self.col], minlength=self.rows) for w in weights], axis=1)
+
+    def gathered(self, values: np.ndarray) -> np.ndarray:
+        """Sums of paragraphs' values by gram: classes x grams."""
+        return np.stack([np.bincount(self.col, weights=v[self.row], minlength=self.cols) for v in values.T])
+
+
 def fit_licences(made: int = MADE, seed: int = SEED) -> LicenceModel:
-    """Trains on made-up paragraphs and calibrates on others."""
+    """Trains on made-up paragraphs and calibrates on others; the same for the same seed. It reads no table."""
     r = random.Random(seed)
     train, held = _made(r, made), _made(r, made // 2)
-    found = Counter(g for w, _ in train for g in grams(w))
-    index = {g: i for i, g in enumerate(sorted(g for g, n in found.items() if n >= LEAST))}
-
-    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(rows), len(index) + 1), np.float32)
-        for i, (w, _) in enumerate(rows):
-            x[i, [index[g] for g in grams(w) if g in index]] = 1
-        x[:, -1] = 1
-        return x, np.array([y for _, y in rows])
-
-    x, y = matrix(train)
-    target = (y[:, None] == np.arange(len(FAMILIES))).astype(np.float32)
-    w, m, v = (np.zeros((len(FAMILIES), x.shape[1]), np.float32) for _ in range(3))
+    index = {g: i for i, g in enumerate(sorted({g for w, _ in train for g in grams(w)}))}
+
+    def matrix(rows: list) -> tuple[_Grams, np.ndarray]:
+        own = [[*(index[g] for g in sorted(grams(w)) if g in index), len(index)] for w, _ in rows]
+        y = np.array([y for _, y in rows])
+        classes = np.append(np.arange(len(FAMILIES)), -1)
+        return _Grams(np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.array([c for x in own for c in x]), len(rows), len(index) + 1), (y[:, None] == classes).astype(np.float64)
+
+    x, target = matrix(train)
+    w, m, v = (np.zeros((target.shape[1], x.cols)) for _ in range(3))
     for step in range(1, 151):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.T, -30, 30)))
-        g = (p - target).T @ x / len(x) + 2e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        g = x.gathered(p - target) / x.rows + 2e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    x, y = matrix(held)
-    z, scale = (x @ w.T).astype(np.float64), np.tile([1.0, 0.0], (len(FAMILIES), 1))
-    for f in range(len(FAMILIES)):
-        t = (y == f).astype(np.float64)
+    x, target = matrix(held)
+    z, scale = x.times(w), np.tile([1.0, 0.0], (target.shape[1], 1))
+    for f, t in enumerate(target.T):
         t = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))  # Platt's targets
         for _ in range(400):
             p = 1 / (1 + np.exp(-np.clip(scale[f, 0] * z[:, f] + scale[f, 1], -40, 40)))
             scale[f] -= 0.3 * np.array([((p - t) * z[:, f]).mean() / (z[:, f] ** 2).mean(), (p - t).mean()])
-    return LicenceModel(index, w.astype(np.float64), scale)
+    return LicenceModel(index, w, scale)
+
+
+def sure_of(p: np.ndarray) -> np.ndarray:
+    """The families that suffice, out of all classes' probabilities."""
+    return np.flatnonzero((p[:-1] >= SURE) & (p[:-1] >= p[-1]))
 
 
 def aligned(words: list[str], family: str, at_least: float = 0.0) -> tuple[float, int, int]:
@@ -235,8 +252,8 @@ def compare(words: list[str], family: str) -> float:
     return aligned(words, family)[0]
 
 
-def scan(text: str | None, model: LicenceModel, seen: dict) -> list[tuple[int, str, float, float, str]]:
-    """(paragraph, family, probability, similarity, notice's text) of each line, or stretch of lines, that has a licence.
+def scan(text: str | None, model: LicenceModel, seen: dict) -> list[tuple[int, str, float, float, str, float]]:
+    """(paragraph, family, probability, similarity, notice's text, probability of none) of each line, or stretch of lines, that has a licence.
 
     Every family that is sure enough is told. A notice wrapped over lines without an empty one between them is
     told once, at its first line, in place of its lines' own weaker rows of that family.
@@ -253,13 +270,13 @@ def scan(text: str | None, model: LicenceModel, seen: dict) -> list[tuple[int, s
             p = seen[key] = model.probabilities(said)
         return p
 
-    rows: dict[tuple[int, str], tuple[float, float, str]] = {}
+    rows: dict[tuple[int, str], tuple[float, float, str, float]] = {}
     for n, said in enumerate(words):
         if _KNOWN.isdisjoint(said):  # no gram of a template: the score of nothing, which is unknown
             continue
         p = judged(said)
-        for f in np.flatnonzero(p >= SURE):
-            rows[n, FAMILIES[f]] = (float(p[f]), compare(said, FAMILIES[f]), lines[n])
+        for f in sure_of(p):
+            rows[n, FAMILIES[f]] = (float(p[f]), compare(said, FAMILIES[f]), lines[n], float(p[-1]))
     first = 0
     for end in [*(n for n, x in enumerate(lines) if not x.strip()), len(lines)]:
         if end - first > 1:
@@ -270,12 +287,11 @@ def scan(text: str | None, model: LicenceModel, seen: dict) -> list[tuple[int, s
     return [(n, f, *v) for (n, f), v in sorted(rows.items(), key=lambda r: (r[0][0], -r[1][0], r[0][1]))]
 
 
-def _wrapped(block: range, lines: list[str], words: list[list[str]], judged, rows: dict[tuple[int, str], tuple[float, float, str]], can: np.ndarray) -> None:
+def _wrapped(block: range, lines: list[str], words: list[list[str]], judged, rows: dict[tuple[int, str], tuple[float, float, str, float]], can: np.ndarray) -> None:
     """Adds to ``rows`` the notices that go over lines of a block."""
     line = [n for n in block for _ in words[n]]
     said = [w for n in block for w in words[n]]
     have = set(said)
-    p = None
     for f, family in enumerate(FAMILIES):
         # words of which a template has enough in the block
         if can[f] and any(len(have.intersection(t)) >= CONFIRMS * len(set(t)) - (len(t) - len(set(t))) for t in _TEMPLATE_WORDS[family]):
@@ -291,25 +307,26 @@ def _wrapped(block: range, lines: list[str], words: list[list[str]], judged, row
                 own = [n for n in span if (n, family) in rows]
                 if len(span) == 1 or max((rows[n, family][1] for n in own), default=0.0) >= got:
                     continue
-                sure = float(max(judged(said[a:b])[f], judged([w for n in span for w in words[n]])[f]))
-                if sure >= SURE:
+                p = max((judged(said[a:b]), judged([w for n in span for w in words[n]])), key=lambda p: p[f])
+                if f in sure_of(p):
                     for n in own:
                         del rows[n, family]
-                    rows[span[0], family] = (sure, got, "\n".join(lines[n] for n in span))
+                    rows[span[0], family] = (float(p[f]), got, "\n".join(lines[n] for n in span), float(p[-1]))
     if not any((n, f) in rows for n in block for f in FAMILIES):  # sure as a whole alone: told at its best place
-        p = judged(said) if not _KNOWN.isdisjoint(said) else np.zeros(len(FAMILIES))
-        for f in np.flatnonzero(p >= SURE):
+        p = judged(said) if not _KNOWN.isdisjoint(said) else np.zeros(len(FAMILIES) + 1)
+        for f in sure_of(p):
             got, a, b = aligned(said, FAMILIES[f])
             if got:
-                rows[line[a], FAMILIES[f]] = (float(p[f]), got, "\n".join(lines[n] for n in range(line[a], line[b - 1] + 1)))
+                rows[line[a], FAMILIES[f]] = (float(p[f]), got, "\n".join(lines[n] for n in range(line[a], line[b - 1] + 1)), float(p[-1]))
 
 
 def find_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed, notice) for each paragraph with a licence.
+    """(doc_id, paragraph, family, probability, unknown, similarity, confirmed, notice) for each paragraph with a licence.
 
     Paragraphs are lines, numbered from 0 as they stand, or the lines from there on that a wrapped notice takes; each
-    family that suffices has a row. All of a text's are judged, unknown ones are not returned. Null
-    and empty texts have none, a null doc_id stays null, repeated rows count each.
+    family that suffices has a row. ``unknown`` is the probability of none of them, ``confirmed`` whether a template is
+    there. All of a text's are judged, however long; those of no family are not returned. Null and empty texts have none,
+    a null doc_id stays null, repeated rows count each, an empty table gives no rows, other columns are not read.
     """
     tuned(docs)
 
@@ -318,7 +335,7 @@ def find_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
         for b in batches:
             found = [(i, *f) for i, t in enumerate(b.column("text").to_pylist()) for f in scan(t, model, seen)]
             ids = b.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.float64()), 1)), pa.array([f[4] >= CONFIRMS for f in found], pa.bool_()), pa.array([f[5] for f in found], pa.string())], ["doc_id", "paragraph", "family", "probability", "similarity", "confirmed", "notice"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.float64()), 1)), pa.array([f[4] >= CONFIRMS for f in found], pa.bool_()), pa.array([f[5] for f in found], pa.string()), pa.array([f[6] for f in found], pa.float64())], ["doc_id", "paragraph", "family", "probability", "similarity", "confirmed", "notice", "unknown"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, paragraph long, family string, probability double, similarity double, confirmed boolean, notice string")
+    return src.mapInArrow(run, "doc_id long, paragraph long, family string, probability double, similarity double, confirmed boolean, notice string, unknown double")
