@@ -80,6 +80,11 @@ def _sweep() -> None:
             return
 
 
+def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """What a shuffle gives, in as many tasks as so many rows need at ``each`` a task; the session's number of shuffle partitions at most."""
+    return df.coalesce(min(1 + rows // each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Runs of whole groups out of batches sorted by ``keys``, each of about ``rows`` rows; with the groups' first rows and the end."""
     held: list[pa.RecordBatch] = []

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, sized, written
 
-#: Edges from which a round gets another task; the session's number of shuffle partitions is the most.
+#: Edges of a round for each of its tasks.
 ROWS = 10_000
 
 
@@ -15,16 +15,11 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """What a shuffle gives, in as many tasks as so many edges need: later rounds are small."""
-    return df.coalesce(min(1 + rows // ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def _jumped(parents: DataFrame, rows: int) -> DataFrame:
     """Each node's root: the parents' parents, until nothing changes."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        nxt = written(_sized(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved")), rows))
+        nxt = written(sized(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved")), rows, ROWS))
         moved = nxt.where("moved").limit(1).count()
         forget(parents)
         parents = nxt.select("node", "parent")
@@ -44,9 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     found: DataFrame | None = None
     while n := left.count():
         near = _both_ways(left).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
-        roots = _jumped(written(_sized(near.select("node", F.least("node", "parent").alias("parent")), n)), n)
+        roots = _jumped(written(sized(near.select("node", F.least("node", "parent").alias("parent")), n, ROWS)), n)
         up = lambda c: roots.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
-        nxt = written(_sized(left.join(up("a"), "a").join(up("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), n))
+        nxt = written(sized(left.join(up("a"), "a").join(up("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), n, ROWS))
         if found is None:
             found = roots
         else:
