@@ -12,6 +12,7 @@ import shutil
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import organize, sort, summary
 from .operators.where import WhereError, parse, where
@@ -57,14 +58,23 @@ def _checked(args: argparse.Namespace) -> None:
 
 
 def _records(spark: SparkSession, args: argparse.Namespace, paths: list[str]) -> DataFrame:
-    df = rawphotos.read_photos(spark, paths, args.recursive, _cache(spark))
+    df = rawphotos.read_photos(spark, paths, args.recursive, _cache(spark), os.environ.get("DARKSLIDE_BACKEND") or "own")
     return where(df, args.where) if args.where else df
 
 
+def _matched(df: DataFrame, args: argparse.Namespace) -> bool:
+    """Whether a filter, if there is one, keeps a record; says so if not."""
+    if args.where and df.isEmpty():
+        print("no records match --where", file=sys.stderr)
+        return False
+    return True
+
+
 def _ls(spark, args) -> int:
-    if not rawphotos.list_raws(args.paths, args.recursive):
+    paths = args.paths or ["."]
+    if not rawphotos.list_raws(paths, args.recursive):
         return 0
-    df = sort.sort_records(_records(spark, args, args.paths), args.sort, args.reverse)
+    df = sort.sort_records(_records(spark, args, paths), args.sort, args.reverse)
     if args.json:
         for r in sinks.json_lines(df).toLocalIterator():
             print(r[0])
@@ -81,8 +91,12 @@ def _info(spark, args) -> int:
     if not rawphotos.list_raws(paths, args.recursive):
         print("no RAW files", file=sys.stderr)
         return 1
-    for r in _records(spark, args, paths).orderBy(sort.path_order()).toLocalIterator():
-        record = sinks.file_record(r.asDict())
+    df = _records(spark, args, paths)
+    if not _matched(df, args):
+        return 1
+    inside = rawphotos.pictures(df).select("path", F.struct("width", "height", "size", "error").alias("jpeg"))
+    for r in df.join(inside, "path", "left").orderBy(sort.path_order()).toLocalIterator():
+        record = sinks.file_record(r.asDict(), sinks.jpegs_text(*r["jpeg"]) if r["jpeg"] else None)
         print(json.dumps(record, ensure_ascii=False) if args.json else "\n".join(f"{k}: {v}" for k, v in record.items()) + "\n")
     return 0
 
@@ -93,36 +107,43 @@ def _summary(spark, args) -> int:
         print("no RAW files", file=sys.stderr)
         return 1
     df = _records(spark, args, paths)
+    if not _matched(df, args):
+        return 1
     if args.json:
         out = json.loads(summary.report(df).first()[0])
         print(json.dumps({"paths": [os.path.realpath(r[0]) for r in df.select("path").orderBy(sort.path_order()).toLocalIterator()], **out}, ensure_ascii=False))
     elif args.by:
         print(sinks.breakdown_text(summary.by_dimension(df, args.by).collect()))
     else:
-        print(sinks.summary_text(df, args.where))
+        print(sinks.summary_text(df, args.where, shutil.get_terminal_size().columns if sys.stdout.isatty() else None))
     return 0
 
 
 def _organize(spark, args) -> int:
-    piped = not args.paths or args.paths == ["-"]
+    piped = args.paths == ["-"] or (not args.paths and not sys.stdin.isatty())
     paths = rawphotos.paths_from(args.paths, sys.stdin)
     if piped and not args.output:
         raise Usage("with paths from standard input, -o is needed")
     dest = args.output or (paths[0] if os.path.isdir(paths[0]) else os.getcwd())
     moves = organize.plan(_records(spark, args, paths), organize.parse_chain(args.by), dest)
-    beside = sorted({os.path.join(d, n) for d in {os.path.dirname(p) or "." for p in rawphotos.list_raws(paths, args.recursive)} for n in os.listdir(d)})
+    found = rawphotos.list_raws(paths, args.recursive)
+    beside = sorted({os.path.join(d, n) for d in {os.path.dirname(p) or "." for p in found} for n in os.listdir(d)})
     if beside:
         moves = organize.with_sidecars(moves, spark.createDataFrame([(p,) for p in beside], "path string"))
     moves = moves.cache()
-    if clash := organize.collisions(moves).collect():
-        for c in clash:
-            print(f"{c['target']}: {', '.join(c['sources'])}", file=sys.stderr)
+    clash: dict[str, list[str]] = {}
+    for c in organize.collisions(moves).orderBy("target", "src").toLocalIterator():
+        clash.setdefault(c["target"], []).append(c["src"])
+    for target, sources in clash.items():
+        print(f"{target}: {', '.join(sources)}", file=sys.stderr)
+    if clash:
         return 1
-    failed = 0
-    for m in moves.orderBy("src").toLocalIterator():
-        if os.path.exists(m["tgt"]) and os.path.samefile(m["src"], m["tgt"]):
+    failed, done = 0, []
+    there = spark.createDataFrame([(t["tgt"],) for t in moves.select("tgt").toLocalIterator() if os.path.exists(t["tgt"])], "path string")
+    for m in organize.with_actions(moves, there, args.overwrite).orderBy("src").toLocalIterator():
+        if m["action"] == "same" or (os.path.exists(m["tgt"]) and os.path.samefile(m["src"], m["tgt"])):
             continue
-        if os.path.exists(m["tgt"]) and not args.overwrite:
+        if m["action"] == "skip":
             print(f"exists: {m['tgt']}", file=sys.stderr)
             continue
         print(f"{m['src']} -> {m['tgt']}", file=sys.stderr)
@@ -130,15 +151,26 @@ def _organize(spark, args) -> int:
             try:
                 os.makedirs(os.path.dirname(m["tgt"]), exist_ok=True)
                 (shutil.copy2 if args.copy else shutil.move)(m["src"], m["tgt"])
+                done.append((os.path.abspath(m["src"]), m["tgt"]))
             except OSError as e:
                 print(e, file=sys.stderr)
                 failed += 1
+    _rekey(spark, done, args.copy)
     if args.prune and not args.dry_run:
         for p in paths:
             prune(p)
     return 1 if failed else 0
 
 
+def _rekey(spark: SparkSession, done: list[tuple[str, str]], copied: bool) -> None:
+    """Has the cache know moved files under their new paths, and copies as well as their sources."""
+    cache = _cache(spark)
+    if not done or cache is None or not cache.enabled:
+        return
+    rows = [(src, x["abspath"], *(x.get(k) for k in ("dev", "ino", "size_bytes", "mtime_ns"))) for src, tgt in done for x in [rawphotos.state_of(tgt)]]
+    cache.relocate(spark.createDataFrame(rows, "src string, tgt string, dev bigint, ino bigint, size bigint, mtime_ns bigint"), copied)
+
+
 def prune(root: str) -> list[str]:
     """Removes empty folders below a root that aren't hidden, from the bottom; a .DS_Store doesn't count as content."""
     gone = []
@@ -153,33 +185,60 @@ def prune(root: str) -> list[str]:
     return gone
 
 
+def _resizer(quality: int):
+    """What resizes pictures, if its library is here."""
+    try:
+        import io
+
+        from PIL import Image, ImageOps
+    except ImportError:
+        return None
+
+    def resize(data: bytes, width: int, height: int) -> bytes:
+        picture = ImageOps.exif_transpose(Image.open(io.BytesIO(data)))
+        out = io.BytesIO()
+        sides = (width, height) if (picture.width >= picture.height) == (width >= height) else (height, width)
+        picture.convert("RGB").resize(sides, Image.Resampling.LANCZOS).save(out, "JPEG", quality=quality, subsampling=0)
+        return out.getvalue()
+
+    return resize
+
+
 def _extract(spark, args) -> int:
-    paths = rawphotos.paths_from(args.paths, sys.stdin)
+    bound = {k: v for k, v in (("long", args.long), ("short", args.short), ("megapixels", args.mp)) if v}
+    if len(bound) > 1:
+        raise Usage("one of --long, --short and --mp at most")
+    if any(v < 0 for v in bound.values()) or not 1 <= args.quality <= 100:
+        raise Usage("bounds must be above 0, --quality from 1 to 100")
+    if bound and _resizer(args.quality) is None:
+        print("--long, --short and --mp need the Pillow library", file=sys.stderr)
+        return 1
+    paths = [os.path.abspath(p) for p in rawphotos.paths_from(args.paths, sys.stdin)]
     found = rawphotos.list_raws(paths, args.recursive)
-    if args.where:
-        found = [r[0] for r in _records(spark, args, paths).select("path").toLocalIterator()]
     if not found:
         print("no RAW files", file=sys.stderr)
         return 1
     src = spark.createDataFrame([(p,) for p in found], "path string")
-    from pyspark.sql import functions as F
-
+    if args.where:
+        src = _records(spark, args, paths).select("path")
+        if not _matched(src, args):
+            return 1
     rel = F.regexp_replace(organize.relative_target(F.col("path"), [p for p in paths if os.path.isdir(p)]), r"\.[^./]*$", ".jpg")
-    targets = src.select(F.col("path").alias("src"), F.concat(F.lit(args.output.rstrip("/") + "/"), rel).alias("tgt"))
+    targets = src.select(F.col("path").alias("src"), F.concat(F.lit(os.path.abspath(args.output).rstrip("/") + "/"), rel).alias("tgt"))
     try:
-        done = rawphotos.write_jpegs(rawphotos.extract_jpegs(src), targets, args.force)
+        done = rawphotos.write_jpegs(targets, args.force, _resizer(args.quality) if bound else None, **bound).collect()  # a line of text a file
     except FileExistsError as e:
         print(e, file=sys.stderr)
         return 1
-    for t, outcome in done:
-        print(f"{t}: {outcome}", file=sys.stderr)
-    return 0 if all(o in ("written", "exists") for _, o in done) else 1
+    for r in sorted(done):
+        print(f"{r['target']}: {r['outcome']}", file=sys.stderr)
+    return 0 if all(r["outcome"] in ("written", "exists") for r in done) else 1
 
 
 def _reveal(spark, args) -> int:
     paths = [p for p in rawphotos.paths_from(args.paths, sys.stdin) if os.path.exists(p)]
     df = spark.createDataFrame([(os.path.realpath(p),) for p in paths], "path string")
-    for r in organize.reveal_groups(df).orderBy("parent").toLocalIterator():
+    for r in organize.reveal_groups(df).select("parent", "n").distinct().orderBy("parent").toLocalIterator():
         print(r["parent"], r["n"], sep="\t")
     return 0
 
@@ -196,8 +255,7 @@ def _cache_admin(spark, args) -> int:
             raise Usage("cache clear needs --yes")
         print(cache.clear())
     elif args.action == "vacuum":
-        live = [r[0] for r in cache.read().select("abspath").toLocalIterator() if os.path.exists(r[0])]
-        print(cache.vacuum(spark.createDataFrame([(p,) for p in live], "abspath string")))
+        print(cache.vacuum(rawphotos.existing(cache.read())))
     else:
         cache.enable(args.action == "enable")
     return 0
@@ -210,7 +268,7 @@ def main(argv: list[str] | None = None) -> int:
     def command(name: str, run, *, filters: bool = True) -> argparse.ArgumentParser:
         p = sub.add_parser(name)
         p.set_defaults(run=run)
-        p.add_argument("paths", nargs="+" if name == "ls" else "*")
+        p.add_argument("paths", nargs="*")
         if filters:
             p.add_argument("-R", "--recursive", action="store_true")
             p.add_argument("-w", "--where", default="")
@@ -230,8 +288,12 @@ def main(argv: list[str] | None = None) -> int:
     for flag in ("--copy", "--overwrite", "--dry-run", "--prune"):
         p.add_argument(flag, action="store_true")
     p = command("extract", _extract)
-    p.add_argument("-o", "--output", required=True)
-    p.add_argument("-f", "--force", action="store_true")
+    p.add_argument("-o", "--output", default="./jpegs")
+    p.add_argument("-f", "--force", "--overwrite", action="store_true")
+    p.add_argument("--long", type=int, default=0)
+    p.add_argument("--short", type=int, default=0)
+    p.add_argument("--mp", type=float, default=0.0)
+    p.add_argument("-q", "--quality", type=int, default=90)
     command("reveal", _reveal, filters=False)
     p = sub.add_parser("cache")
     p.set_defaults(run=_cache_admin)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,61 +15,62 @@ def general(x: Column) -> Column:
     return F.when(r == F.floor(r), F.floor(r).cast("string")).otherwise(r.cast("string"))
 
 
-def iso_text(v: object) -> str:
-    return "-" if v is None else str(int(v))
+#: What stands for a value that is missing.
+NONE = "-"
 
 
-def aperture_text(v: float | None) -> str:
-    return "-" if v is None else f"f/{v:g}"
+def _shown(write: Callable[[float], str]) -> Callable[[float | None], str]:
+    """A display form that has a dash for what is missing."""
+    return lambda v: NONE if v is None else write(v)
 
 
-def focal_text(v: float | None) -> str:
-    return "-" if v is None else f"{v:g}mm"
+iso_text = _shown(lambda v: f"{int(v):d}")
+aperture_text = _shown("f/{:g}".format)
+focal_text = _shown("{:g}mm".format)
 
 
-def shutter_text(v: float | None) -> str:
-    """Seconds from 1 s, else a fraction; a speed whose fraction would be 1/1 as a decimal; 0 is nothing."""
-    if v is None or v <= 0:
-        return "-"
-    part = round(1 / v)
-    return f"1/{part}" if v < 1 and part > 1 else f"{v:g}s"
+@_shown
+def shutter_text(seconds: float) -> str:
+    """Whole and broken seconds with an s; shorter times as the nearest 1/N, unless N would be 1. Times that aren't above 0 are missing."""
+    if not seconds > 0:
+        return NONE
+    n = round(1 / seconds) if seconds < 1 else 1
+    return f"{seconds:g}s" if n == 1 else f"1/{n}"
 
 
-def bias_text(v: float | None) -> str:
-    if v is None:
-        return "-"
-    r = round(v, 2)
-    return f"{r:+g}" if r else "0"
+@_shown
+def bias_text(stops: float) -> str:
+    """Stops to two decimals with their sign; zero has none."""
+    return f"{round(stops, 2) or 0:{'+' if round(stops, 2) else ''}g}"
 
 
 def size_text(n: int) -> str:
-    """Bytes in units of 1024, two decimals below ten."""
-    units, x = ["B", "KiB", "MiB", "GiB", "TiB"], float(n)
-    k = 0
-    while x >= 1024 and k < len(units) - 1:
-        x, k = x / 1024, k + 1
-    return f"{n} B" if not k else f"{x:.2f} {units[k]}" if x < 10 else f"{x:.1f} {units[k]}"
-
-
-def hours_text(hours: list[int]) -> str:
-    """Sorted hours with neighbours as ranges; a dash for none."""
-    runs: list[list[int]] = []
-    for h in hours:
-        if runs and h == runs[-1][1] + 1:
-            runs[-1][1] = h
-        else:
-            runs.append([h, h])
-    return ", ".join(f"{a:02d}" if a == b else f"{a:02d}\u2013{b:02d}" for a, b in runs) or "\u2014"
-
-
-def extent_text(lo: object, hi: object, show) -> str:
-    return "-" if lo is None else show(lo) if lo == hi else f"{show(lo)} \u2013 {show(hi)}"
-
-
-def names_text(keys: list[str], shown: int = 3) -> str:
-    """All names if few; else their number, the first ones and how many more."""
-    if not keys:
-        return "-"
-    if len(keys) <= shown:
-        return ", ".join(keys)
-    return f"{len(keys)} ({', '.join([*keys[:shown], f'+{len(keys) - shown} others'])})"
+    """Bytes as they are below 1024; then in units of 1024, to two decimals below ten of a unit and else to one."""
+    unit = max(0, min(4, (max(n, 1).bit_length() - 1) // 10))
+    if not unit:
+        return f"{n} B"
+    value = n / 1024**unit
+    return f"{value:.{2 if value < 10 else 1}f} {'KMGT'[unit - 1]}iB"
+
+
+def hours_text(hours: Iterable[int]) -> str:
+    """Sorted hours, neighbours joined to ranges; a long dash for none."""
+    spans = []
+    for _, run in itertools.groupby(enumerate(hours), key=lambda x: x[1] - x[0]):  # neighbours are as far from their places
+        ends = [h for _, h in run]
+        spans.append("\u2013".join(f"{h:02d}" for h in dict.fromkeys((ends[0], ends[-1]))))
+    return ", ".join(spans) or "\u2014"
+
+
+def extent_text(lo: object, hi: object, show: Callable[[object], str]) -> str:
+    """Both ends of a range, one if they are the same."""
+    return NONE if lo is None else " \u2013 ".join(show(v) for v in dict.fromkeys((lo, hi)))
+
+
+def names_text(keys: Sequence[str], shown: int = 3, width: int | None = None) -> str:
+    """All names if there are no more than ``shown``; else how many there are, the first ones and how many more.
+
+    With a ``width``, as many of the first as fit it.
+    """
+    forms = [", ".join(keys) or NONE if len(keys) <= k else f"{len(keys)} ({', '.join([*keys[:k], f'+{len(keys) - k} others'])})" for k in range(shown, -1, -1)]
+    return next((f for f in forms if width is None or len(f) <= width), forms[-1])

@@ -43,9 +43,16 @@ def with_sidecars(moves: DataFrame, files: DataFrame) -> DataFrame:
     return moves.unionByName(found.distinct())
 
 
+def folded(c: Column) -> Column:
+    """Text whose case doesn't count; a sharp s is two letters s, as in its capital form."""
+    return F.lower(F.upper(F.regexp_replace(c, "[\u00df\u1e9e]", "ss")))
+
+
 def collisions(moves: DataFrame) -> DataFrame:
-    """(target, count, sources): targets that several files would take, whatever their case."""
-    return moves.groupBy(F.lower("tgt").alias("target")).agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("src")).alias("sources")).where("count > 1")
+    """(target, count, src): a row for each file of the targets that several files would take, whatever their case."""
+    aimed = moves.select(folded(F.col("tgt")).alias("target"), "src")
+    several = aimed.groupBy("target").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    return several.join(aimed, "target").select("target", "count", "src")
 
 
 def with_actions(moves: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -71,5 +78,6 @@ def relative_target(path: Column, roots: list[str]) -> Column:
 
 
 def reveal_groups(df: DataFrame) -> DataFrame:
-    """(parent, n, paths) of the folders that hold files."""
-    return df.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """(parent, n, path): a row for each file, with the number of files in its folder."""
+    placed = df.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("parent"), "path")
+    return placed.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(placed, "parent").select("parent", "n", "path")

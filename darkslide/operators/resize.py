@@ -21,3 +21,11 @@ def target_size(width: Column, height: Column, long: int | None = None, short: i
         return width, height
     to = lambda side: F.when(ratio >= 1, side.cast("long")).otherwise(F.greatest(F.lit(1), F.bround(side * ratio).cast("long")))
     return to(w), to(h)
+
+
+def plain_size(width: int, height: int, long: int | None = None, short: int | None = None, megapixels: float | None = None) -> tuple[int, int]:
+    """The same for one picture, where its size is known only in a task."""
+    if not width or not height or (long, short, megapixels) == (None, None, None):
+        return width, height
+    ratio = long / max(width, height) if long is not None else short / min(width, height) if short is not None else (megapixels * 1e6 / (width * height)) ** 0.5
+    return (width, height) if ratio >= 1 else (max(1, round(width * ratio)), max(1, round(height * ratio)))

@@ -36,13 +36,17 @@ def totals(df: DataFrame) -> DataFrame:
     return base.drop("_a", "_b")
 
 
+#: Columns of few distinct values, by the nature of cameras; exposure times and clock times have many.
+_FEW = ("iso", "fnumber", "focal", "bias", "rating")
+
+
 def by_dimension(df: DataFrame, name: str, ordered: bool = True) -> DataFrame:
     """(key, count, share) of a dimension. Shares are of all records, those without a key included.
 
     Bins come in their own order, dates by key, names by count. Keys outside a list of bins are left out.
     """
     column, binned, order = dimension(name)
-    if isinstance(order, tuple):  # bins of numbers: few raw values are binned, after a first count of them
+    if isinstance(order, tuple) and column in _FEW:  # few raw values are binned, after a first count of them
         raw = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
         counted = raw.groupBy(binned(F.col("_v")).alias("key")).agg(F.sum("_c").alias("count"))
     else:
@@ -67,9 +71,17 @@ def by_dimensions(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def all_dimensions(df: DataFrame) -> DataFrame:
-    """(dimension, ord, key, count, share) of all dimensions in a single pass over the records."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("dimension"), key_of(n).cast("string").alias("key")) for n in DIMENSIONS))
-    counted = df.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.key").agg(F.count(F.lit(1)).alias("count"))
+    """(dimension, ord, key, count, share) of all dimensions in a single pass over the records.
+
+    Each record gives one row a set of keys that occur together; the sets are counted before they are taken apart, so that
+    what is taken apart are the cameras, lenses and settings that were used, not the records.
+    """
+    sets = [("camera", "maker", "lens", "orientation", "rating"), ("iso", "aperture", "bias"), ("focal", "shutter"), ("hour", "year", "month"), ("day",)]
+    keyed = df.select(*(key_of(n).cast("string").alias(n) for n in DIMENSIONS))
+    either = F.array(*(F.struct(F.lit(i).alias("set"), *((F.col(n) if n in names else F.lit(None).cast("string")).alias(n) for n in DIMENSIONS)) for i, names in enumerate(sets)))
+    met = keyed.select(F.explode(either).alias("x")).select("x.*").groupBy("set", *DIMENSIONS).agg(F.count(F.lit(1)).alias("_c"))
+    pairs = F.array(*(F.struct(F.lit(n).alias("dimension"), F.col(n).alias("key"), (F.col("set") == i).alias("own")) for i, names in enumerate(sets) for n in names))
+    counted = met.select("_c", F.explode(pairs).alias("p")).where("p.own").groupBy("p.dimension", "p.key").agg(F.sum("_c").alias("count"))
     total = counted.groupBy("dimension").agg(F.sum("count").alias("_n"))
     out = counted.join(F.broadcast(total), "dimension").where("key is not null").withColumn("share", F.col("count") / F.col("_n"))
     place = F.lit(0)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import buckets
+from ..functions.normalize import normalize
 from ..operators import organize, resize, sort, summary
 from ..operators.where import where
 from .shots import SHOTS, shots
@@ -79,7 +80,7 @@ def _plan(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _collisions(spark: SparkSession, d: str) -> DataFrame:
-    return organize.collisions(organize.plan(shots(spark, d), ["month"], "/out")).select("target", "count", F.element_at("sources", 1).alias("first_src"))
+    return organize.collisions(organize.plan(shots(spark, d), ["month"], "/out"))
 
 
 def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -145,6 +146,54 @@ def _report_dims(spark: SparkSession, d: str) -> DataFrame:
     return summary.all_dimensions(shots(spark, d)).select("dimension", "key", "count", "share")
 
 
+def _twice(df: DataFrame) -> DataFrame:
+    """Times to the hour alone, so that cameras take several pictures at a time."""
+    return df.withColumn("datetime", F.substring("datetime", 1, 13))
+
+
+def _sidecars(spark: SparkSession, d: str) -> DataFrame:
+    df = shots(spark, d)
+    suffix = F.when(F.col("size_bytes") % 3000 == 0, ".xmp").when(F.col("size_bytes") % 3000 == 1000, ".JPG").otherwise(".txt")
+    files = df.where("size_bytes % 5000 = 0").select(F.concat(F.regexp_replace("path", "[.][A-Z0-9]+$", ""), suffix).alias("path"))
+    return organize.with_sidecars(organize.plan(df, ["month"], "/out"), files)
+
+
+def _actions(spark: SparkSession, d: str) -> DataFrame:
+    df = shots(spark, d)
+    moves = organize.plan(df, ["month"], "/out").join(df.select(F.col("path").alias("src"), "size_bytes"), "src")
+    moves = moves.withColumn("tgt", F.when(F.col("size_bytes") % 4000 == 0, F.col("src")).otherwise(F.col("tgt"))).drop("size_bytes")
+    return organize.with_actions(moves, moves.where(F.length("tgt") % 2 == 0).select(F.col("tgt").alias("path"))).select("src", "tgt", "action")
+
+
+#: Raw tags made up out of events, alike in both engines: blanks, odd times, makers in models, APEX values, missing places.
+_TAGS = """SELECT CAST(event_id AS STRING) AS path,
+    CASE event_id % 7 WHEN 0 THEN '2021:03:04 05:06:07' WHEN 1 THEN '2021-03-04 05:06:07' WHEN 2 THEN ' 2020:12:31 23:59:58 ' WHEN 3 THEN '20ab:01:02 xx:04:05' WHEN 4 THEN '2019:zz:09 10:11:12' WHEN 5 THEN '   ' ELSE NULL END AS taken,
+    CASE event_id % 5 WHEN 0 THEN '048' WHEN 1 THEN ' 5 ' WHEN 2 THEN '' ELSE NULL END AS subsec,
+    CASE event_id % 4 WHEN 0 THEN 'Zorki' WHEN 1 THEN ' KODAK COMPANY ' WHEN 2 THEN '' ELSE NULL END AS make,
+    CASE event_id % 6 WHEN 0 THEN 'ZORKI 4K' WHEN 1 THEN 'Kodak Retina' WHEN 2 THEN 'Zorkina' WHEN 3 THEN 'Zorki ' WHEN 4 THEN ' ' ELSE NULL END AS model,
+    CAST(NULL AS STRING) AS lens, CAST(event_id % 900 AS INT) AS iso,
+    CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 40 AS DOUBLE) / 4 END AS fnumber, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 11 AS DOUBLE) / 2 END AS apex,
+    CAST(NULL AS DOUBLE) AS shutter, CAST(NULL AS DOUBLE) AS focal, CAST(NULL AS DOUBLE) AS bias, CASE WHEN event_id % 8 = 0 THEN CAST(event_id % 6 AS INT) END AS rating,
+    CAST(NULL AS INT) AS image_width, CAST(NULL AS INT) AS image_height, CASE WHEN event_id % 9 < 5 THEN CAST(event_id % 90 AS DOUBLE) END AS gps_lat, CASE WHEN event_id % 9 > 2 THEN CAST(event_id % 180 AS DOUBLE) END AS gps_lon,
+    CASE WHEN event_id % 10 > 0 THEN CAST(event_id % 10 AS INT) END AS orientation_code, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 64 AS INT) END AS flash_code, event_id % 12 > 3 AS any_tag, CAST(event_id AS BIGINT) AS size_bytes
+FROM events"""
+
+_NORMAL = ["path", "datetime", "date", "time", "year", "month", "day", "hour", "maker", "model", "fnumber", "rating", "orientation", "flash", "gps"]
+_TRIMMED = ", ".join(f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '') AS {c}_" for c in ("taken", "subsec", "make", "model"))
+_NORMAL_SQL = f"""tags AS ({_TAGS}), a AS (SELECT *, {_TRIMMED} FROM tags),
+b AS (SELECT *, length(taken_) >= 19 AND substr(taken_, 5, 1) = ':' AND substr(taken_, 8, 1) = ':' AS good, upper(split_part(make_, ' ', 1)) || ' ' AS first FROM a),
+c AS (SELECT *, CASE WHEN good THEN substr(taken_, 1, 4) || '-' || substr(taken_, 6, 2) || '-' || substr(taken_, 9, 2) END AS date, CASE WHEN good THEN substr(taken_, 12, 8) || coalesce('.' || subsec_, '') END AS time FROM b),
+e AS (SELECT *, TRY_CAST(substr(date, 1, 4) AS INT) AS year FROM c), f AS (SELECT *, CASE WHEN year IS NOT NULL THEN TRY_CAST(substr(date, 6, 2) AS INT) END AS month FROM e),
+n AS (SELECT path, coalesce(date || ' ' || time, taken_) AS datetime, date, time, year, month, CASE WHEN month IS NOT NULL THEN TRY_CAST(substr(date, 9, 2) AS INT) END AS day, TRY_CAST(substr(time, 1, 2) AS INT) AS hour, make_ AS maker,
+    CASE WHEN make_ IS NOT NULL AND starts_with(upper(model_), first) AND ltrim(substr(model_, length(first) + 1)) <> '' THEN ltrim(substr(model_, length(first) + 1)) ELSE model_ END AS model,
+    coalesce(fnumber, round_even(pow(2.0, apex / 2), 1)) AS fnumber, coalesce(rating, CASE WHEN any_tag THEN 0 END) AS rating,
+    CASE WHEN orientation_code BETWEEN 5 AND 8 THEN 'portrait' WHEN orientation_code BETWEEN 1 AND 4 THEN 'landscape' END AS orientation, flash_code % 2 = 1 AS flash, CASE WHEN gps_lat IS NOT NULL AND gps_lon IS NOT NULL THEN true END AS gps FROM f)"""
+
+
+def _made_tags(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_TAGS.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _paths(text) for name, (text, _) in FILTERS.items()}
     out["where_keepers"] = keepers
@@ -157,14 +206,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_rating_dist": lambda spark, d: summary.rating_distribution(shots(spark, d)),
         "organize_flat": _plan([]), "organize_one_dim": _plan(["month"]), "organize_two_dims": _plan(["camera", "aperture"]), "organize_three_dims": _plan(["year", "lens", "focal"]),
         "organize_collisions": _collisions,
-        "reveal_groups": lambda spark, d: organize.reveal_groups(shots(spark, d)).select("parent", "n"),
+        "reveal_groups": lambda spark, d: organize.reveal_groups(shots(spark, d)),
         "sort_top_iso": _top_iso, "sort_rank": _sorted_rank,
         "cache_hits": _cache_hits, "cache_misses": _cache_misses, "cache_orphans": _orphans,
         "resize_long": _resized(long=2000), "resize_short": _resized(short=1080), "resize_mp": _resized(megapixels=3.0),
         "union_inputs_distinct": lambda spark, d: shots(spark, d).where("iso >= 1600").select("path").union(shots(spark, d).where("rating > 2").select("path")).distinct(),
         "records_of_paths": lambda spark, d: shots(spark, d).select("path").join(where(shots(spark, d), "iso>500").select("path", "iso"), "path", "left"),
         "ext_by_two_dims": lambda spark, d: summary.by_dimensions(shots(spark, d), ["camera", "iso"]),
-        "ext_duplicates": lambda spark, d: summary.duplicates(shots(spark, d)),
+        "ext_duplicates": lambda spark, d: summary.duplicates(_twice(shots(spark, d))),
+        "organize_sidecars": _sidecars, "organize_actions": _actions,
+        "normalize_tags": lambda spark, d: normalize(_made_tags(spark, d)).select(*_NORMAL),
+        "normalize_model": lambda spark, d: normalize(_made_tags(spark, d)).groupBy("maker", "model", "orientation", "flash", "gps", "rating").agg(F.count(F.lit(1)).alias("n")),
         "ext_paths_by_dimension": lambda spark, d: summary.paths_by_dimension(shots(spark, d), "orientation"),
     }
     return out
@@ -187,8 +239,8 @@ def oracle_sql() -> dict[str, str]:
         "summary_flash_gps": f"{_WITH} SELECT count(*) FILTER (WHERE flash) AS flash_on, count(*) - count(*) FILTER (WHERE flash) AS flash_off, count(*) FILTER (WHERE gps) AS gps_yes, count(*) - count(*) FILTER (WHERE gps) AS gps_no FROM shots",
         "summary_rating_dist": f"{_WITH} SELECT CASE WHEN rating > 0 THEN CAST(rating AS STRING) ELSE 'unrated' END AS key, count(*) AS count FROM shots GROUP BY 1",
         "organize_flat": plan([]), "organize_one_dim": plan(["month"]), "organize_two_dims": plan(["camera", "aperture"]), "organize_three_dims": plan(["year", "lens", "focal"]),
-        "organize_collisions": f"{_WITH} SELECT lower('/out/' || {dim('month')} || '/' || {base}) AS target, count(*) AS count, min(path) AS first_src FROM shots GROUP BY 1 HAVING count(*) > 1",
-        "reveal_groups": f"{_WITH} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, count(*) AS n FROM shots GROUP BY 1",
+        "organize_collisions": f"{_WITH} SELECT lower('/out/' || {dim('month')} || '/' || {base}) AS target, count(*) OVER (PARTITION BY target) AS count, path AS src FROM shots QUALIFY count > 1",
+        "reveal_groups": f"{_WITH} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, count(*) OVER (PARTITION BY parent) AS n, path FROM shots",
         "sort_top_iso": f"{_WITH} SELECT path, iso FROM shots WHERE iso > 0 ORDER BY iso DESC NULLS LAST, shutter DESC NULLS LAST, string_split(path, '/') LIMIT 50",
         "sort_rank": f"{_WITH} SELECT path, row_number() OVER (PARTITION BY model, year, month, day ORDER BY lower(model) NULLS LAST, lower(lens) NULLS LAST, iso NULLS LAST, string_split(path, '/')) AS rank FROM shots",
         "cache_hits": f"{cached} SELECT abspath, iso FROM now JOIN seen USING (abspath, size, mtime_ns)",
@@ -198,7 +250,11 @@ def oracle_sql() -> dict[str, str]:
         "union_inputs_distinct": f"{_WITH} SELECT path FROM shots WHERE iso >= 1600 UNION SELECT path FROM shots WHERE rating > 2",
         "records_of_paths": f"{_WITH} SELECT path, CASE WHEN iso > 500 THEN iso END AS iso FROM shots",
         "ext_by_two_dims": f"{_WITH} SELECT {_BINS['camera']} AS camera, {_BINS['iso']} AS iso, count(*) AS count FROM shots GROUP BY 1, 2",
-        "ext_duplicates": f"{_WITH} SELECT datetime, model, count(*) AS count, min(path) AS first_path FROM shots WHERE datetime IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+        "ext_duplicates": f"{_WITH}, t AS (SELECT substr(datetime, 1, 13) AS datetime, model, path FROM shots) SELECT datetime, model, count(*) AS count, min(path) AS first_path FROM t WHERE datetime IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+        "organize_sidecars": f"{_WITH}, s AS (SELECT regexp_replace(path, '[.][A-Z0-9]+$', '') || CASE WHEN size_bytes % 3000 = 0 THEN '.xmp' WHEN size_bytes % 3000 = 1000 THEN '.JPG' ELSE '.txt' END AS side FROM shots WHERE size_bytes % 5000 = 0), m AS (SELECT path AS src, '/out/' || {dim('month')} || '/' || {base} AS tgt FROM shots) SELECT src, tgt, 'raw' AS kind FROM m UNION ALL SELECT DISTINCT side, regexp_replace(tgt, '[^/]*$', '') || regexp_extract(side, '([^/]*)$', 1), 'sidecar' FROM m JOIN s ON regexp_replace(src, '[.][^./]*$', '') = regexp_replace(side, '[.][^./]*$', '') WHERE NOT ends_with(side, '.txt')",
+        "organize_actions": f"{_WITH}, m AS (SELECT path AS src, CASE WHEN size_bytes % 4000 = 0 THEN path ELSE '/out/' || {dim('month')} || '/' || {base} END AS tgt FROM shots), e AS (SELECT DISTINCT tgt FROM m WHERE length(tgt) % 2 = 0) SELECT src, m.tgt, CASE WHEN src = m.tgt THEN 'same' WHEN e.tgt IS NOT NULL THEN 'skip' ELSE 'move' END AS action FROM m LEFT JOIN e ON e.tgt = m.tgt",
+        "normalize_tags": f"WITH {_NORMAL_SQL} SELECT {', '.join(_NORMAL)} FROM n",
+        "normalize_model": f"WITH {_NORMAL_SQL} SELECT maker, model, orientation, flash, gps, rating, count(*) AS n FROM n GROUP BY ALL",
         "ext_paths_by_dimension": f"{_WITH} SELECT orientation AS key, path FROM shots WHERE orientation <> ''",
     }
     return out

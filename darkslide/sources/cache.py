@@ -18,8 +18,8 @@ LEAST_FILES = 50
 
 
 def hits(files: DataFrame, cached: DataFrame) -> DataFrame:
-    """Cached rows of files whose state is unchanged."""
-    return files.select(*STATE).join(cached, STATE)
+    """Cached rows of files whose state is unchanged, with whatever else the files bring."""
+    return files.join(cached, STATE)
 
 
 def misses(files: DataFrame, cached: DataFrame) -> DataFrame:
@@ -38,19 +38,30 @@ def merged(cached: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 class Snapshot:
-    """A cache in a folder: data versions beside each other, and a small file that names the one in force."""
+    """A cache in a folder: data versions beside each other, and numbered small files, the last of which names the one in force.
+
+    A file of the next number is written under another name and renamed, so that a crash at any time leaves the one before.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
         path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = lambda p: path(f"{self.folder}/{p}")
+        self._path = lambda p: path(f"{self.folder}/{p}" if p else self.folder)
         self._fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        """The numbers of the files that name a version, ascending."""
+        if not self._fs.exists(self._path("")):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(""))]
+        return sorted(int(n[5:-5]) for n in names if n.startswith("meta-") and n.endswith(".json") and n[5:-5].isdigit())
+
     def _meta(self) -> dict:
-        if not self._fs.exists(self._path("meta.json")):
+        numbers = self._numbers()
+        if not numbers:
             return {"version": VERSION, "enabled": True, "data": None}
         try:
-            meta = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/meta.json").collect()))
+            meta = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/meta-{numbers[-1]}.json").collect()))
         except ValueError:
             meta = {}
         if meta.get("version") != VERSION:  # of another make, or unreadable: start anew
@@ -58,12 +69,14 @@ class Snapshot:
         return meta
 
     def _set(self, meta: dict) -> None:
-        name = f"meta.{uuid.uuid4().hex}"
+        name, numbers = f"tmp-{uuid.uuid4().hex}", self._numbers()
         out = self._fs.create(self._path(name), True)
         out.write(bytearray(json.dumps(meta), "utf-8"))
         out.close()
-        self._fs.delete(self._path("meta.json"), False)
-        self._fs.rename(self._path(name), self._path("meta.json"))
+        if not self._fs.rename(self._path(name), self._path(f"meta-{(numbers or [0])[-1] + 1}.json")):
+            raise OSError(f"{self.folder} was changed by another at the same time")
+        for n in numbers:
+            self._fs.delete(self._path(f"meta-{n}.json"), False)
 
     @property
     def enabled(self) -> bool:

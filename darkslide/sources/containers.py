@@ -42,9 +42,10 @@ def _value(raw: bytes, kind: int, count: int, order: str) -> object:
     return values[0] if count == 1 else values
 
 
-def directory(data: bytes, at: int, order: str, wanted: dict[str, int]) -> dict[str, object]:
-    """The wanted entries of the directory at an offset; what points outside is left out."""
+def directory(data: bytes, at: int, order: str, wanted: dict[str, int], base: int = 0) -> dict[str, object]:
+    """The wanted entries of the directory at an offset; what points outside is left out. ``base``: the offset of the data's first byte."""
     names, out = {v: k for k, v in wanted.items()}, {}
+    at -= base
     if at < 0 or at + 2 > len(data):
         return out
     (n,) = struct.unpack_from(order + "H", data, at)
@@ -56,8 +57,8 @@ def directory(data: bytes, at: int, order: str, wanted: dict[str, int]) -> dict[
         if tag not in names or kind not in TYPES or not count:
             continue
         size = TYPES[kind][0] * count
-        start = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-        if start + size <= len(data):
+        start = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0] - base
+        if 0 <= start and start + size <= len(data):
             out[names[tag]] = _value(data[start : start + size], kind, count, order)
     return out
 
@@ -67,10 +68,10 @@ def _order(data: bytes) -> str | None:
     return order if order and len(data) >= 8 and struct.unpack_from(order + "H", data, 2)[0] in MAGICS else None
 
 
-def _picture_size(data: bytes, order: str, ifd: dict) -> tuple[int, int] | None:
+def _picture_size(data: bytes, order: str, ifd: dict, base: int) -> tuple[int, int] | None:
     """The largest of the first directory's size and its sub-directories'; else Panasonic's sensor."""
     subs = ifd.get("subs", [])
-    found = [ifd, *(directory(data, s, order, {"width": 0x0100, "height": 0x0101}) for s in (subs if isinstance(subs, list) else [subs])[:SUBS] if isinstance(s, int))]
+    found = [ifd, *(directory(data, s, order, {"width": 0x0100, "height": 0x0101}, base) for s in (subs if isinstance(subs, list) else [subs])[:SUBS] if isinstance(s, int))]
     sizes = [(d["width"], d["height"]) for d in found if isinstance(d.get("width"), int) and isinstance(d.get("height"), int) and d["width"] > 0 and d["height"] > 0]
     if not sizes and isinstance(ifd.get("rw2_width"), int) and isinstance(ifd.get("rw2_height"), int):
         sizes = [(ifd["rw2_width"], ifd["rw2_height"])]
@@ -106,11 +107,15 @@ def _gathered(ifd: dict, exif: dict, gps: dict, size: tuple[int, int] | None) ->
 
 def tiff(data: bytes) -> dict[str, object]:
     """Tags of a TIFF or one of its kin."""
-    if not (order := _order(data)):
-        return {}
-    ifd = directory(data, struct.unpack_from(order + "I", data, 4)[0], order, IFD0)
+    order = _order(data)
+    return _linked(data, order, struct.unpack_from(order + "I", data, 4)[0], 0) if order else {}
+
+
+def _linked(data: bytes, order: str, first: int, base: int) -> dict[str, object]:
+    """Tags of the directory at an offset and those that it points to, out of data that begins at ``base``."""
+    ifd = directory(data, first, order, IFD0, base)
     at = lambda k: ifd[k] if isinstance(ifd.get(k), int) else -1
-    return _gathered(ifd, directory(data, at("exif"), order, EXIF), directory(data, at("gps"), order, GPS), _picture_size(data, order, ifd))
+    return _gathered(ifd, directory(data, at("exif"), order, EXIF, base), directory(data, at("gps"), order, GPS, base), _picture_size(data, order, ifd, base))
 
 
 def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -221,7 +226,7 @@ def read_tags(read: Reader) -> dict[str, object]:
         if order := _order(data):
             (first,) = struct.unpack_from(order + "I", data, 4)
             if first + 2 > len(data):
-                return _far(read, data, order, first)
+                return _far(read, order, first)
             out = tiff(data)
             return {**xmp(data), **out} if out else out
         return jpeg_tags(data)
@@ -229,14 +234,10 @@ def read_tags(read: Reader) -> dict[str, object]:
         return {}
 
 
-def _far(read: Reader, head: bytes, order: str, first: int) -> dict[str, object]:
-    """Tags where the first directory lies beyond the head: offsets are moved into a window around it."""
+def _far(read: Reader, order: str, first: int) -> dict[str, object]:
+    """Tags where the first directory lies beyond the head, however far: out of a window around it."""
     start = max(0, first - WINDOW // 4)
-    window = read(start, WINDOW)
-    if len(window) < first - start + 2:
-        return {}
-    # a sparse picture of the file: the head, nothing between, the window
-    return tiff(head[:8] + bytes(min(start, 1 << 28) - 8) + window) if start >= 8 and start < 1 << 28 else {}
+    return _linked(read(start, WINDOW), order, first, start)
 
 
 def largest_jpeg(data: bytes) -> bytes | None:

@@ -68,19 +68,20 @@ def breakdown_text(rows: list) -> str:
     return "\n".join(f"{k}{' ' * (w[0] - _width(k))}  {c:>{w[1]}}  {p:>{w[2]}}" for k, c, p in shown)
 
 
-def summary_text(df: DataFrame, where: str = "") -> str:
-    """A folder's summary as key and value."""
+def summary_text(df: DataFrame, where: str = "", width: int | None = None) -> str:
+    """A folder's summary as key and value; names as many as fit the width of a terminal."""
     t = summary.totals(df).first().asDict()
     if not t["count"]:
         return "no records"
     names = {n: [r["key"] for r in summary.by_dimension(df, n).collect()] for n in ("camera", "lens", "maker")}
     pairs = ", ".join(f"{r['count']} ({r['key']})" for r in summary.by_dimension(df, "orientation").collect()) or "-"
     ratings = sorted(((r["key"], r["count"]) for r in summary.rating_distribution(df).collect()), key=lambda x: (x[0] != "unrated", x[0]))
+    room = None if width is None else width - 13  # what the keys and the gap take
     many = lambda n, word: f"{n} {word}{'' if n == 1 else 's'}"
     rows = [("Filter", where)] * bool(where) + [
         ("Files", str(t["count"])), ("Size", size_text(t["total_bytes"])),
         ("Date range", f"{t['date_min']} \u2192 {t['date_max']}  ({many(t['span_years'], 'year')}, {many(t['span_months'], 'month')}, {many(t['span_days'], 'day')})" if t["date_min"] else "-"),
-        ("Hours", hours_text(t["hours_present"])), ("Makers", names_text(names["maker"])), ("Cameras", names_text(names["camera"])), ("Lenses", names_text(names["lens"])),
+        ("Hours", hours_text(t["hours_present"])), ("Makers", names_text(names["maker"], width=room)), ("Cameras", names_text(names["camera"], width=room)), ("Lenses", names_text(names["lens"], width=room)),
         ("ISO", extent_text(t["iso_min"], t["iso_max"], iso_text)), ("Aperture", extent_text(t["fnumber_min"], t["fnumber_max"], aperture_text)), ("Shutter", extent_text(t["shutter_min"], t["shutter_max"], shutter_text)),
         ("Focal", extent_text(t["focal_min"], t["focal_max"], focal_text)), ("Bias", extent_text(t["bias_min"], t["bias_max"], bias_text)),
         ("Rating", ", ".join(f"{n} ({k})" for k, n in ratings)), ("Orientation", pairs), ("Flash", f"{t['flash_on']} (on), {t['flash_off']} (off)"), ("GPS", f"{t['gps_yes']} (yes), {t['gps_no']} (no)"),
@@ -93,11 +94,17 @@ def summary_text(df: DataFrame, where: str = "") -> str:
 FILE_FIELDS = "datetime date time maker model lens iso fnumber shutter focal bias rating orientation flash image_width image_height gps gps_lat gps_lon".split()
 
 
-def file_record(row: dict) -> dict:
-    """A file's record for display: present fields in order, its size, its place as text."""
+def jpegs_text(width: int, height: int, size: int, error: str | None) -> list[str]:
+    """What the pictures inside a file are, or why there is none."""
+    return [f"unavailable ({error})" if error else f"JPEG {width}x{height} ({size_text(size)})"]
+
+
+def file_record(row: dict, jpegs: list[str] | None = None) -> dict:
+    """A file's record for display: present fields in order, its size, its place as text, the pictures inside."""
     out = {"path": row["path"], "size_bytes": row.get("size_bytes"), "size_human": size_text(row["size_bytes"]) if row.get("size_bytes") is not None else "-"}
     out |= {k: row[k] for k in FILE_FIELDS if row.get(k) is not None}
     if "datetime" not in out and (parts := [str(out[k]) for k in ("date", "time") if k in out]):
         out["datetime"] = " ".join(parts)
     lat, lon = out.get("gps_lat"), out.get("gps_lon")
-    return out | {"gps_text": "-" if lat is None or lon is None else f"{lat:.6f}, {lon:.6f}"}
+    out["gps_text"] = "-" if lat is None or lon is None else f"{lat:.6f}, {lon:.6f}"
+    return out | ({} if jpegs is None else {"embedded_jpegs": jpegs})

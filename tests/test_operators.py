@@ -6,33 +6,41 @@ from darkslide.functions import buckets, text
 from darkslide.operators import organize, resize, sort, summary
 from darkslide.schema import PHOTO_SCHEMA, is_raw
 
-BASE = {"path": "/a/x.CR3", "date": "2024-06-15", "time": "12:00:00", "datetime": "2024-06-15 12:00:00", "model": "EOS R5", "maker": "Canon", "lens": "RF50mm F1.8 STM", "iso": 400, "fnumber": 2.8, "shutter": 1 / 200, "focal": 50.0, "size_bytes": 10}
+BASE = {"path": "/r/x.NEF", "date": "2019-11-03", "time": "17:20:31", "datetime": "2019-11-03 17:20:31", "model": "Z 6", "maker": "Nikon", "lens": "NIKKOR Z 40mm", "iso": 1250, "fnumber": 5.6, "shutter": 1 / 60, "focal": 40.0, "size_bytes": 7}
 
 
 def records(spark, *overrides):
-    rows = [BASE | {"path": f"/a/{i}.CR3"} | o for i, o in enumerate(overrides)]
+    rows = [BASE | {"path": f"/r/{i}.NEF"} | o for i, o in enumerate(overrides)]
     return spark.createDataFrame([tuple(r.get(f.name) for f in PHOTO_SCHEMA) for r in rows], PHOTO_SCHEMA)
 
 
-def keys(spark, name, *overrides):
-    return [(r["key"], r["count"]) for r in summary.by_dimension(records(spark, *overrides), name).collect()]
+#: Dimension: values of its field, and the bins that come out, in their order, with their counts.
+BINS = {
+    "iso": ("iso", [0, 101, 800, 801, 6401, 2 * 10**9, -1, None], [("≤100", 1), ("101–200", 1), ("401–800", 1), ("801–1600", 1), (">6400", 1)]),
+    "aperture": ("fnumber", [1.7, 1.9, 3.4, 7.1, 22.4, None], [("f/1.8", 2), ("f/3.5", 1), ("f/22", 1)]),
+    "focal": ("focal", [0.0, 19.9, 20.0, 69.9, 70.0, 599.0, 600.0, 1e4, None], [("<20mm ultra-wide", 2), ("20-35mm wide", 1), ("35-70mm standard", 1), ("70-200mm tele", 1), ("200-600mm long", 1), (">600mm super-tele", 1)]),
+    "hour": ("time", ["00:00:01", "23:59", "07", "7", "24:00:00", "xx:00", None], [("00", 1), ("07", 1), ("23", 1)]),
+    "bias": ("bias", [-0.5, 0.5, 1.5, -1.51, 7.0, None], [("-2 EV", 1), ("0 EV", 2), ("+2 EV", 1), ("+3 EV", 1)]),
+    "rating": ("rating", [-1, 0, 1, 5, 6, None], [("unrated", 3), ("1", 1), ("5", 2)]),
+    "shutter": ("shutter", [1 / 9000, 0.7, 0.71, 3.0, 500.0, 0.0, -1.0, None], [("1/8000", 1), ("1/2", 1), ("1s", 1), ("4s", 1), ("120s", 1)]),
+    "year": ("date", ["2001-05-06", "1999", "199", None], [("1999", 1), ("2001", 1)]),
+    "day": ("date", ["2001-05-06", "2001-05", None], [("2001-05-06", 1)]),
+    "lens": ("lens", ["b", "b", "a", "c", "", None], [("b", 2), ("a", 1), ("c", 1)]),
+}
 
 
-def test_buckets(spark):
-    assert keys(spark, "iso", {"iso": 100}, {"iso": 200}, {"iso": 3200}, {"iso": -5}, {"iso": None}) == [("≤100", 1), ("101–200", 1), ("1601–3200", 1)]
-    assert keys(spark, "aperture", {"fnumber": 4.0}, {"fnumber": 2.7}, {"fnumber": 6.3}) == [("f/2.8", 1), ("f/4", 1)]
-    assert keys(spark, "focal", {"focal": 200.0}, {"focal": 14.0}, {"focal": 50.0}, {"focal": 20000.0}) == [("<20mm ultra-wide", 1), ("35-70mm standard", 1), ("200-600mm long", 1)]
-    assert keys(spark, "hour", {"time": "16:45:00"}, {"time": "08:30:00"}, {"time": "16:00:00"}, {"time": "x"}) == [("08", 1), ("16", 2)]
-    assert keys(spark, "bias", {"bias": 2.5}, {"bias": -9.0}, {"bias": 0.4}) == [("-3 EV", 1), ("0 EV", 1), ("+2 EV", 1)]
-    assert keys(spark, "rating", {"rating": 9}, {"rating": 0}, {}, {"rating": 3}) == [("unrated", 2), ("3", 1), ("5", 1)]
-    assert keys(spark, "shutter", {"shutter": 0.0}, {"shutter": 1 / 130}, {"shutter": 31.0}) == [("1/125", 1), ("30s", 1)]
-    assert keys(spark, "month", {"date": "2024-03-01"}, {"date": "2024-01-01"}, {"date": None}, {"date": "2024"}) == [("2024-01", 1), ("2024-03", 1)]
-    assert keys(spark, "camera", {"model": "B"}, {"model": "A"}, {"model": "B"}, {"model": ""}) == [("B", 2), ("A", 1)]
+@pytest.mark.parametrize("name", BINS)
+def test_bins(spark, name):
+    field, values, want = BINS[name]
+    rows = summary.by_dimension(records(spark, *({field: v} for v in values)), name).collect()
+    assert [(r["key"], r["count"]) for r in rows] == want
+    assert all(r["share"] == r["count"] / len(values) for r in rows)  # of all records, those without a key included
 
 
-def test_off_list_aperture_is_a_folder(spark):
-    df = records(spark, {"fnumber": 6.3}, {"fnumber": 10.0}, {"fnumber": None}, {"fnumber": 1.8})
-    assert [r[0] for r in df.select(organize.folder_key("aperture")).collect()] == ["f_6.3", "f_10", "_unknown", "f_1.8"]
+def test_an_aperture_off_the_list_is_a_folder(spark):
+    values = {7.1: "f_7.1", 13.0: "f_13", None: "_unknown", 5.6: "f_5.6", 0.95: "f_1"}
+    df = records(spark, *({"fnumber": v} for v in values))
+    assert [r[0] for r in df.select(organize.folder_key("aperture")).collect()] == list(values.values())
 
 
 def test_nearest_stops_against_python(spark):
@@ -43,35 +51,34 @@ def test_nearest_stops_against_python(spark):
         assert got == (f"f/{best:g}" if abs(best - v) / best < 0.06 else f"f/{v:g}"), v
 
 
-def test_shares_count_all_records(spark):
-    rows = summary.by_dimension(records(spark, {"lens": None}, {}, {}, {}), "lens").collect()
-    assert [(r["key"], r["share"]) for r in rows] == [("RF50mm F1.8 STM", 0.75)]
-
-
 def test_totals(spark):
-    t = summary.totals(records(spark, {"date": "2023-01-31"}, {"date": "2023-03-01", "lens": None}, {"iso": None, "date": None})).first()
-    assert (t["count"], t["total_bytes"], t["days_spanned"], t["n_lensless"]) == (3, 30, 30, 1)
-    assert (t["span_years"], t["span_months"], t["span_days"]) == (0, 1, -2)
-    assert t["hours_present"] == [12] and (t["iso_min"], t["iso_max"]) == (400, 400)
+    t = summary.totals(records(spark, {"date": "2020-12-31", "bias": -1.0}, {"date": "2022-02-01", "lens": "", "flash": True}, {"iso": None, "date": None, "gps": True, "time": "03:00"})).first()
+    assert (t["count"], t["total_bytes"], t["days_spanned"], t["n_lensless"], t["n_lenses"]) == (3, 21, 398, 1, 1)
+    assert (t["span_years"], t["span_months"], t["span_days"]) == (1, 1, 1) and (t["flash_on"], t["flash_off"], t["gps_yes"], t["gps_no"]) == (1, 2, 1, 2)
+    assert t["hours_present"] == [3, 17] and (t["iso_min"], t["iso_max"]) == (1250, 1250) and (t["bias_min"], t["bias_max"]) == (-1.0, -1.0)
+    none = summary.totals(records(spark)).first()
+    assert (none["count"], none["total_bytes"], none["days_spanned"], none["date_min"], none["hours_present"]) == (0, 0, 0, None, [])
 
 
 def test_report(spark):
     import json
 
     assert json.loads(summary.report(records(spark)).first()[0]) == {"total": {"count": 0}}
-    out = json.loads(summary.report(records(spark, {}, {"model": "A"}, {"model": "A"})).first()[0])
-    assert out["by_camera"] == [{"key": "A", "count": 2, "share": 2 / 3}, {"key": "EOS R5", "count": 1, "share": 1 / 3}]
-    assert out["by_bias"] == [] and out["total"]["count"] == 3
+    rows = ({}, {"model": "Zf", "iso": 64}, {"model": "Zf", "shutter": 2.0, "date": None}, {"time": None, "bias": 1.0, "rating": 4})
+    out = json.loads(summary.report(records(spark, *rows)).first()[0])
+    assert out["by_camera"] == [{"key": "Z 6", "count": 2, "share": 0.5}, {"key": "Zf", "count": 2, "share": 0.5}] and out["total"]["count"] == 4
     for n in buckets.DIMENSIONS:
-        assert out[f"by_{n}"] == [r.asDict() for r in summary.by_dimension(records(spark, {}, {"model": "A"}, {"model": "A"}), n).collect()]
+        assert out[f"by_{n}"] == [r.asDict() for r in summary.by_dimension(records(spark, *rows), n).collect()]
 
 
 def test_filter_commutes_with_breakdown(spark):
     from darkslide.operators.where import where
 
-    df = records(spark, {"iso": 100}, {"iso": 800}, {"iso": None, "lens": "L"})
-    kept = [r["path"] for r in where(df, "iso>=400 or lens==\"L\"").collect()]
-    a = summary.by_dimension(where(df, 'iso>=400 or lens=="L"'), "lens").collect()
+    text = 'shutter<0.01 or maker=="Leica"'
+    df = records(spark, {"shutter": 0.004}, {"shutter": 0.5}, {"shutter": None, "maker": "Leica", "lens": "M 35"})
+    kept = [r["path"] for r in where(df, text).collect()]
+    a = summary.by_dimension(where(df, text), "lens").collect()
+    assert len(kept) == 2
     assert a == summary.by_dimension(df.where(F.col("path").isin(kept)), "lens").collect()
 
 
@@ -87,16 +94,18 @@ def test_sort(spark):
 
 
 def test_organize(spark):
-    df = records(spark, {"path": "/in/IMG.CR3", "date": "2024-01-02"}, {"path": "/in/img.cr3", "date": "2024-01-05"}, {"path": "/in/z.CR3", "date": None})
-    moves = organize.plan(df, ["month"], "/out/")
-    assert {r["tgt"] for r in moves.collect()} == {"/out/2024-01/IMG.CR3", "/out/2024-01/img.cr3", "/out/_unknown/z.CR3"}
-    assert [(r["target"], r["count"]) for r in organize.collisions(moves).collect()] == [("/out/2024-01/img.cr3", 2)]
-    files = spark.createDataFrame([("/in/z.XMP",), ("/in/z.CR3",), ("/in/Z.xmp",), ("/other/z.xmp",)], "path string")
-    assert {(r["src"], r["tgt"]) for r in organize.with_sidecars(moves, files).where("kind = 'sidecar'").collect()} == {("/in/z.XMP", "/out/_unknown/z.XMP")}
-    there = spark.createDataFrame([("/out/_unknown/z.CR3",)], "path string")
-    assert {r["src"]: r["action"] for r in organize.with_actions(moves, there).collect()}["/in/z.CR3"] == "skip"
-    assert organize.parse_chain("camera,model") == ["camera", "model"]
-    for bad in ("month,month", "nope"):
+    df = records(spark, {"path": "/s/Wolf.NEF", "date": "2018-07-09"}, {"path": "/s/t/WOLF.nef", "date": "2018-07-30"}, {"path": "/s/fox.NEF", "date": None}, {"path": "/s/straße.nef", "date": None}, {"path": "/s/STRASSE.nef", "date": None})
+    moves = organize.plan(df, ["month"], "/to/")
+    assert {r["tgt"] for r in moves.collect()} == {"/to/2018-07/Wolf.NEF", "/to/2018-07/WOLF.nef", "/to/_unknown/fox.NEF", "/to/_unknown/straße.nef", "/to/_unknown/STRASSE.nef"}
+    assert {tuple(r) for r in organize.collisions(moves).collect()} == {("/to/2018-07/wolf.nef", 2, "/s/Wolf.NEF"), ("/to/2018-07/wolf.nef", 2, "/s/t/WOLF.nef"), ("/to/_unknown/strasse.nef", 2, "/s/straße.nef"), ("/to/_unknown/strasse.nef", 2, "/s/STRASSE.nef")}
+    files = spark.createDataFrame([("/s/fox.JPEG",), ("/s/fox.NEF",), ("/s/Fox.xmp",), ("/s/t/fox.xmp",), ("/s/fox.txt",)], "path string")
+    assert {(r["src"], r["tgt"]) for r in organize.with_sidecars(moves, files).where("kind = 'sidecar'").collect()} == {("/s/fox.JPEG", "/to/_unknown/fox.JPEG")}
+    there = spark.createDataFrame([("/to/_unknown/fox.NEF",)], "path string")
+    assert {r["src"]: r["action"] for r in organize.with_actions(moves, there).collect()} == {"/s/fox.NEF": "skip", "/s/Wolf.NEF": "move", "/s/t/WOLF.nef": "move", "/s/straße.nef": "move", "/s/STRASSE.nef": "move"}
+    assert {r["action"] for r in organize.with_actions(moves, there, True).collect()} == {"move"}
+    assert {tuple(r) for r in organize.reveal_groups(df.where("date is not null")).collect()} == {("/s", 1, "/s/Wolf.NEF"), ("/s/t", 1, "/s/t/WOLF.nef")}
+    assert organize.parse_chain(" Camera, model") == ["camera", "model"] and organize.parse_chain("") == []
+    for bad in ("iso,lens,iso", "weather", "iso,"):
         with pytest.raises(ValueError):
             organize.parse_chain(bad)
 
@@ -113,11 +122,14 @@ def test_resize(spark):
 
 
 def test_texts():
-    assert [text.shutter_text(x) for x in (0.004, 0.00625, 0.999, 1.0, 1.3, 30.0, None, 0.0)] == ["1/250", "1/160", "0.999s", "1s", "1.3s", "30s", "-", "-"]
-    assert [text.bias_text(x) for x in (0, 1.0, 0.6666666, -2.416666667, None)] == ["0", "+1", "+0.67", "-2.42", "-"]
-    assert text.hours_text([2, 3, 4, 22, 23]) == "02–04, 22–23" and text.hours_text([]) == "—"
-    assert (text.size_text(5), text.size_text(4300), text.size_text(220 * 2**20)) == ("5 B", "4.20 KiB", "220.0 MiB")
-    assert text.names_text(list("abcde")) == "5 (a, b, c, +2 others)" and text.names_text(["a"]) == "a"
+    assert {x: text.shutter_text(x) for x in (1 / 8000, 0.3, 0.6, 0.7, 0.95, 1.0, 2.5, 120.0, None, 0.0, -2.0)} == {1 / 8000: "1/8000", 0.3: "1/3", 0.6: "1/2", 0.7: "0.7s", 0.95: "0.95s", 1.0: "1s", 2.5: "2.5s", 120.0: "120s", None: "-", 0.0: "-", -2.0: "-"}
+    assert [text.bias_text(x) for x in (0.0, -0.001, 0.3333, -1.6666, 2.0, None)] == ["0", "0", "+0.33", "-1.67", "+2", "-"]
+    assert [text.iso_text(x) for x in (0, 51200, None)] == ["0", "51200", "-"] and text.aperture_text(0.95) == "f/0.95" and text.focal_text(16.5) == "16.5mm" and text.focal_text(None) == "-"
+    assert text.hours_text([0, 5, 6, 9, 10, 11]) == "00, 05–06, 09–11" and text.hours_text([]) == "—"
+    assert [text.size_text(n) for n in (0, 1023, 1024, 10240, 1536 * 1024, 5 * 2**30, 3 * 2**50)] == ["0 B", "1023 B", "1.00 KiB", "10.0 KiB", "1.50 MiB", "5.00 GiB", "3072.0 TiB"]
+    assert text.names_text([]) == "-" and text.names_text(["x", "y", "z"]) == "x, y, z" and text.names_text(list("vwxyz")) == "5 (v, w, x, +2 others)"
+    assert [text.names_text(["one", "two", "three", "four"], width=w) for w in (40, 27, 22, 3)] == ["4 (one, two, three, +1 others)", "4 (one, two, +2 others)", "4 (one, +3 others)", "4 (+4 others)"]
+    assert text.extent_text(None, None, str) == "-" and text.extent_text(2, 2, str) == "2" and text.extent_text(2, 3, text.focal_text) == "2mm – 3mm"
 
 
 def test_suffixes():
