@@ -24,7 +24,7 @@ from .common import filtered, forget, tuned, written
 #: Labelled rows that the classifier is fitted on, at most.
 FIT_ROWS = 40_000
 #: Standard errors by which a word's share in toxic and other rows must differ for the classifier to weigh it.
-APART = 3.0
+APART = 4.0
 #: Distinct tokens whose weights a worker remembers; then it starts anew.
 REMEMBERED = 500_000
 
@@ -276,6 +276,8 @@ def _fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, k: int) -> tuple[np.nd
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         d = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, bias = w - d[:-1], bias - d[-1]
+        if np.abs(d).max() < 1e-4:
+            break
     return w, float(bias)
 
 
