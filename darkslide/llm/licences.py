@@ -216,10 +216,13 @@ def sure_of(p: np.ndarray) -> np.ndarray:
     return np.flatnonzero((p[:-1] >= SURE) & (p[:-1] >= p[-1]))
 
 
-def aligned(words: list[str], family: str, at_least: float = 0.0) -> tuple[float, int, int]:
-    """The largest share of one of the family's templates that the paragraph has in order and close together, above ``at_least``; the first word there, and the one after the last."""
-    best, found = at_least, (0, 0)
-    for t in _TEMPLATE_WORDS[family]:
+def aligned(words: list[str], family: str, at_least: float = 0.0, longest: bool = False) -> tuple[float, int, int]:
+    """The largest share of one of the family's templates that the paragraph has in order and close together, above ``at_least``; the first word there, and the one after the last.
+
+    With ``longest``, that of the longest template which has such a share: a short one may be a part of it.
+    """
+    best, found, of = at_least, (0, 0), []
+    for t in sorted(_TEMPLATE_WORDS[family], key=len, reverse=True):
         wanted, span = set(t), 2 * len(t)
         at = [i for i, w in enumerate(words) if w in wanted]
         hi = 0
@@ -230,21 +233,19 @@ def aligned(words: list[str], family: str, at_least: float = 0.0) -> tuple[float
                 continue
             got = lcs(t, words[lo : lo + span]) / len(t)
             if got > best:
-                end = min(at[hi - 1] + 1, lo + span)
-                best, found = got, (lo, end)
+                best, found, of = got, (lo, min(at[hi - 1] + 1, lo + span)), t
                 if best == 1:
                     break
-        if best == 1:
+        if best == 1 or (longest and of):
             break
-    lo, hi = found
-    if best > at_least:  # without words that add nothing at its end
-        t = max(_TEMPLATE_WORDS[family], key=lambda t: lcs(t, words[lo:hi]) / len(t))
-        while hi - lo > 1 and lcs(t, words[lo : hi - 1]) / len(t) >= best:
-            hi -= 1
-        while hi - lo > 1 and lcs(t, words[lo + 1 : hi]) / len(t) >= best:
-            lo += 1
-        return best, lo, hi
-    return 0.0, 0, 0
+    if not of:
+        return 0.0, 0, 0
+    lo, hi = found  # without words that add nothing at its ends
+    while hi - lo > 1 and lcs(of, words[lo : hi - 1]) / len(of) >= best:
+        hi -= 1
+    while hi - lo > 1 and lcs(of, words[lo + 1 : hi]) / len(of) >= best:
+        lo += 1
+    return best, lo, hi
 
 
 def compare(words: list[str], family: str) -> float:
@@ -298,14 +299,14 @@ def _wrapped(block: range, lines: list[str], words: list[list[str]], judged, row
             todo = [(0, len(said))]
             while todo:
                 lo, hi = todo.pop()
-                got, a, b = aligned(said[lo:hi], family, CONFIRMS - 1e-9)
+                got, a, b = aligned(said[lo:hi], family, CONFIRMS - 1e-9, longest=True)
                 if not got:
                     continue
                 a, b = a + lo, b + lo
                 todo += [(lo, a), (b, hi)]  # other notices before and after it
                 span = range(line[a], line[b - 1] + 1)
                 own = [n for n in span if (n, family) in rows]
-                if len(span) == 1 or max((rows[n, family][1] for n in own), default=0.0) >= got:
+                if len(span) == 1:
                     continue
                 p = max((judged(said[a:b]), judged([w for n in span for w in words[n]])), key=lambda p: p[f])
                 if f in sure_of(p):

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -570,13 +571,37 @@ def test_licences(spark):
 
 def test_licence_families(odd, none):
     model = licences.fit_licences()
+    unknown = model.probabilities(licences.words_of("the terms of the version of a public file"))
+    assert unknown[-1] >= licences.SURE > unknown[:-1].max() and model.probabilities(licences.words_of("released under the mit license"))[-1] < licences.SURE
     for text, family in (("Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under the Apache License, Version 2.0 (the \"License\");", "apache-2.0"), ("// Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd")):
         found = licences.scan(f"first\n{text}\nlast", model, {})
-        assert [(f[0], f[1]) for f in found] == [(1, family)] and found[0][3] >= licences.CONFIRMS, text
+        assert [(f[0], f[1]) for f in found] == [(1, family)] and found[0][3] >= licences.CONFIRMS and found[0][5] < 0.5, text
     assert licences.scan("the driver's license is expired\nthe terms of the version", model, {}) == [] and licences.scan(None, model, {}) == []
     assert licences.find_licences(odd, model).count() == 0 and licences.find_licences(none, model).count() == 0
 
 
+def test_licences_held_out():
+    """Made-up paragraphs of another seed: families and none, and how far the calibrated probabilities can be believed."""
+    model, rows = licences.fit_licences(), licences._made(random.Random(777), 60)
+    p = np.array([model.probabilities(w) for w, _ in rows])
+    y = np.array([f if f >= 0 else p.shape[1] - 1 for _, f in rows])
+    best = [f if len(f := licences.sure_of(q)) else [p.shape[1] - 1] for q in p]
+    right = np.array([t in b for t, b in zip(y, best)])
+    assert right[y < p.shape[1] - 1].mean() > 0.93 and right[y == p.shape[1] - 1].mean() > 0.97
+    for lo, hi in ((0.0, 0.2), (0.8, 1.01)):  # the class of none is calibrated
+        some = (p[:, -1] >= lo) & (p[:, -1] < hi)
+        assert abs(p[some, -1].mean() - (y[some] == p.shape[1] - 1).mean()) < 0.05
+
+
+def test_licences_wrapped_at_eighty_columns():
+    model = licences.fit_licences()
+    for family in ("mit", "gpl-3.0", "bsd", "apache-2.0", "lgpl"):
+        notice = max(licences.TEMPLATES[family], key=len)
+        said = "\n".join(f"// {line}" for line in textwrap.wrap(notice, 60))
+        found = [f for f in licences.scan(f"int main() {{}}\n\n{said}\n\nreturn 0;", model, {}) if f[1] == family]
+        assert len(found) == 1 and found[0][0] == 2 and found[0][3] >= 0.99 and found[0][4] == said, family
+
+
 def test_licences_after_long_lines():
     r = random.Random(2)
     mit, bsd = licences.TEMPLATES["mit"][2], licences.TEMPLATES["bsd"][0]
