@@ -191,12 +191,13 @@ def test_simhash_odd(odd, none):
     assert simhash.simhash_components(none).collect() == [] and simhash.simhash_dedup(none).collect() == []
 
 
-@pytest.mark.parametrize("part", [512, 4])
-def test_pipeline_drops_near_copies_from_0_8(spark, odd, none, part, monkeypatch):
+@pytest.mark.parametrize(("part", "listed"), [(512, 10**6), (4, 0)])
+def test_pipeline_drops_near_copies_from_0_8(spark, odd, none, part, listed, monkeypatch):
     import corpus_pipeline
     from darkslide.llm import shingles
 
     monkeypatch.setattr(shingles, "PART", part)
+    monkeypatch.setattr(shingles, "LISTED", listed)
     r = random.Random(7)
     base = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.randint(100, 600))) for _ in range(40)]
     rows = list(enumerate(base))
