@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,12 @@ BREAKS = (BREAK, -1.0, -2.0, -3.0, -5.0, -6.0)
 
 _CLASSES = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 _SUSPECT = re.compile(r"[^\W\d_].*[0-9@$!|+€£(¡]|[0-9@$!|+€£(¡].*[^\W\d_]|([^\W\d_])\1|[^\W\d_][.\-_*~'·/\\,]+[^\W\d_]")
+# White space as Python splits at it; letters of _CLASSES, and each of them twice.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LATIN = rf"\A[{_CLASSES}]+\z"
+_TWICE = "|".join(c * 2 for c in _CLASSES)
+#: Punctuation at a token's ends that says nothing.
+_EDGE = ".,;:?\"'()[]-*"
 _RUN = re.compile(r"(.)\1+", re.S)
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SINGLES = re.compile(r"(?<!\S)(?:[^\W_][.,!?]|\S)(?!\S)(?:\s+(?:[^\W_][.,!?]|\S)(?!\S))+")
@@ -324,10 +331,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, a
     index = {f: i for i, f in enumerate(sorted(found))}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple] = {}
-        reach = Reach(index)
+        find = _Finder(chars, index)
         for b in batches:
-            own = [sorted(index[f] for f in _doc_features(t, chars, seen, index, reach)) for t in b.column("text").to_pylist()]
+            own = [sorted(index[f] for f in features) for features in find(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column("_toxic")], ["f", "y"])
 
     fitted = rows.mapInArrow(sparse, "f array<int>, y int").toArrow().combine_chunks()  # fit_rows at most
@@ -342,16 +348,68 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, a
     return ToxicityModel(chars, {f: float(w[i]) for f, i in index.items()}, bias)
 
 
+class _Finder:
+    """The known features of many texts at once: the same as ``_doc_features`` finds in each.
+
+    Distinct tokens are numbered by Arrow. Words of Latin letters, none twice in a row, are looked up there; only other
+    tokens, and words that have a feature, are read one by one.
+    """
+
+    def __init__(self, chars: CharModel, known: dict[str, float]):
+        self.chars, self.known, self.reach = chars, known, Reach(known)
+        self.seen: dict[str, tuple[str, ...]] = {}
+        self.whole = pa.array([f for f in known if not f.endswith("*")], pa.string())
+        self.starts = {k: pa.array([f[:-1] for f in known if f.endswith("*") and len(f) == k + 1], pa.string()) for k in (4, 5)}
+
+    def _features(self, token: str) -> tuple[str, ...]:
+        if (f := self.seen.get(token)) is None:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            f = self.seen[token] = tuple(x for w in words_of(token, self.chars, self.reach) for x in features_of(w) if x in self.known)
+        return f
+
+    def __call__(self, texts: list[str | None]) -> list[set[str]]:
+        said = [(t or "").lower() for t in texts]
+        out: list[set[str]] = [set() for _ in said]
+        split = pc.split_pattern_regex(pa.array(said, pa.string()), f"[{_WHITE}]+")
+        coded = split.flatten().dictionary_encode()
+        code, tokens, ends = coded.indices.to_numpy(), coded.dictionary, split.offsets.to_numpy()
+        if not len(code):
+            return out
+        where = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+        core = pc.utf8_trim(tokens, characters=_EDGE)
+        plain = where(pc.match_substring_regex(core, _LATIN)) & ~where(pc.match_substring_regex(core, _TWICE))
+        size, has = pc.utf8_length(core).to_numpy(), where(pc.is_in(core, value_set=self.whole))
+        for k, starts in self.starts.items():
+            has |= (size > k) & where(pc.is_in(pc.utf8_slice_codeunits(core, 0, k), value_set=starts))
+        at = np.flatnonzero(has | ~plain)
+        found = {}
+        for i, token in zip(at.tolist(), tokens.take(pa.array(at)).to_pylist()):
+            if f := self._features(token):
+                found[i] = f
+        has = np.zeros(len(tokens), bool)
+        has[list(found)] = True
+        hit = np.flatnonzero(has[code])
+        for text, i in zip((np.searchsorted(ends, hit, side="right") - 1).tolist(), code[hit].tolist()):
+            out[text].update(found[i])
+        # texts where two single characters stand in a row
+        single = where(pc.match_substring_regex(tokens, r"\A(?:[^\s]|[\pL\pN][.,!?])\z"))[code]
+        row = np.flatnonzero(single[1:] & single[:-1])
+        first = np.searchsorted(ends, row, side="right") - 1
+        for text in np.unique(first[row + 1 < ends[first + 1]]).tolist():
+            out[text].update(x for w in spaced(said[text], self.chars) for x in features_of(w) if x in self.known)
+        return out
+
+
 def _scorer(model: ToxicityModel):
     """A task's function from texts to scores."""
     chars, weights, bias = model
 
     def make():
-        seen: dict[str, tuple[str, ...]] = {}
-        reach = Reach(weights)
+        find = _Finder(chars, weights)
 
         def scores(texts: list[str | None]) -> list[float]:
-            z = (bias + sum(weights[x] for x in sorted(_doc_features(t, chars, seen, weights, reach))) for t in texts)
+            z = (bias + sum(weights[x] for x in sorted(f)) for f in find(texts))
             return [1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) for x in z]
 
         return scores

@@ -438,6 +438,17 @@ def test_words_out_of_reach_give_none_of_the_features():
         assert toxicity._doc_features(w, model, {}, known) == toxicity._doc_features(w, model, {}, known, reach), w
 
 
+def test_many_texts_at_once_give_the_same_features():
+    r = random.Random(8)
+    model = toxicity.CharModel.of(np.random.default_rng(3).integers(0, 9, 64**3))
+    known = {f: 1.0 for w in ("stupid", "idiot", "loser", "a", "ab", "слово", "straße") for f in toxicity.features_of(w)}
+    parts = ["stupid", "idiot", "loser", "l0ser", "stuupid", "id-iot", "i", "d", "o", "t", "a", "b", "!", ",", ".", "(", "*", "-", "слово", "straße", "ẞ", "é", "1", "$", " ", " ", " ", "\n", "\x1c", "\u3000", "\x85", "👍", "_", "'"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [None, "", " ", "i d i o t　l o s e r", "a! b? c", "x " * 5000 + "s t u p i d"]
+    reach = toxicity.Reach(known)
+    assert toxicity._Finder(model, known)(texts) == [toxicity._doc_features(t, model, {}, known, reach) for t in texts]
+    assert toxicity._Finder(model, {})(texts) == [set()] * len(texts) and toxicity._Finder(model, known)([]) == []
+
+
 def test_one_alphabet_for_all_scripts():
     assert toxicity.classes("aß漢ж👍 -").tolist() == [1, 27, 63, 63, 63, 0, 0]
     model = toxicity.CharModel.of(np.ones(64**3))
