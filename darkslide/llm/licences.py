@@ -109,6 +109,7 @@ def words_of(text: str) -> list[str]:
 
 
 _KNOWN = frozenset(w for t in TEMPLATES.values() for x in t for w in words_of(x))
+_PLACE = {w: i for i, w in enumerate(sorted(_KNOWN))}
 _TEMPLATE_WORDS = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
 
 
@@ -125,6 +126,7 @@ class LicenceModel(NamedTuple):
     index: dict[str, int]
     weights: np.ndarray  # families and unknown x (grams + 1)
     scale: np.ndarray  # families and unknown x 2: slope and offset of the calibration
+    words: np.ndarray  # grams x 3: the places of their words; after them, one that is always there
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         """Of each family, and last of none of them."""
@@ -135,7 +137,9 @@ class LicenceModel(NamedTuple):
     def possible(self, known: frozenset[str], seen: dict) -> np.ndarray:
         """Families that some order of ``known`` words could be sure of: a bound, by all their grams that speak for one."""
         if (out := seen.get(known)) is None:
-            at = [i for g, i in self.index.items() if known.issuperset(g.split())]
+            there = np.zeros(len(_PLACE) + 1, bool)
+            there[[*(_PLACE[w] for w in known), -1]] = True
+            at = np.flatnonzero(there[self.words].all(axis=1))
             z = (np.maximum(self.weights[:, at], 0).sum(axis=1) + self.weights[:, -1])[:-1]
             slope, offset = self.scale[:-1].T
             out = seen[known] = (slope <= 0) | (1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40))) >= SURE)
@@ -208,7 +212,8 @@ def fit_licences(made: int = MADE, seed: int = SEED) -> LicenceModel:
         for _ in range(400):
             p = 1 / (1 + np.exp(-np.clip(scale[f, 0] * z[:, f] + scale[f, 1], -40, 40)))
             scale[f] -= 0.3 * np.array([((p - t) * z[:, f]).mean() / (z[:, f] ** 2).mean(), (p - t).mean()])
-    return LicenceModel(index, w, scale)
+    words = np.array([([_PLACE[x] for x in g.split()] + [len(_PLACE)] * 3)[:3] for g in index])
+    return LicenceModel(index, w, scale, words)
 
 
 def sure_of(p: np.ndarray) -> np.ndarray:
