@@ -33,6 +33,8 @@ LISTED = 300_000
 CHUNK = 1 << 15
 #: Node pairs with at most so many fingerprint pairs are compared outright.
 LEAF = 64
+#: The same for keys of 128 bits, and the keys of a node that are compared at once.
+WIDE_LEAF, BLOCK = 1 << 14, 512
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -50,25 +52,31 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of sorted 64-bit ``keys`` that differ in at most ``budget`` of their lower ``depth`` bits.
 
-    ``starts`` has the first index of each subtree, and the end; the keys of a subtree share the bits above.
+    ``starts`` has the first index of each subtree, and the end; the keys of a subtree share the bits above. ``rest``
+    has 64 further bits of each key, which count too: such a wide budget prunes late, so that larger nodes are compared.
     """
+    leaf = LEAF if rest is None else WIDE_LEAF
     lo, hi = starts[:-1], starts[1:]
     wide = hi - lo > 1
     a_lo, a_hi = lo[wide], hi[wide]
     b_lo, b_hi, diff = a_lo, a_hi, np.zeros(len(a_lo), np.int64)
     for bit in range(depth - 1, -2, -1):
         size = (a_hi - a_lo) * (b_hi - b_lo)
-        done = (size <= LEAF) if bit >= 0 else np.ones(len(size), bool)
-        if done.any():
+        done = (size <= leaf) if bit >= 0 else np.ones(len(size), bool)
+        if done.any() and rest is not None:
+            for pair in zip(a_lo[done].tolist(), a_hi[done].tolist(), b_lo[done].tolist(), b_hi[done].tolist()):
+                yield from _near_blocks(keys, rest, *pair, budget)
+        elif done.any():
             n_b, s = (b_hi - b_lo)[done], size[done]
             at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
             n_b = np.repeat(n_b, s)
             i, j = np.repeat(a_lo[done], s) + at // n_b, np.repeat(b_lo[done], s) + at % n_b
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
             yield i[near], j[near]
+        if done.any():
             keep = ~done
             a_lo, a_hi, b_lo, b_hi, diff = a_lo[keep], a_hi[keep], b_lo[keep], b_hi[keep], diff[keep]
         if bit < 0 or not len(a_lo):
@@ -84,6 +92,18 @@ def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int) ->
         a_lo, a_hi, b_lo, b_hi, diff = a_lo[keep], a_hi[keep], b_lo[keep], b_hi[keep], diff[keep]
 
 
+def _near_blocks(keys: np.ndarray, rest: np.ndarray, a_lo: int, a_hi: int, b_lo: int, b_hi: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of two nodes of 128-bit keys that are within the budget, block by block."""
+    for a in range(a_lo, a_hi, BLOCK):
+        for b in range(b_lo, b_hi, BLOCK):
+            x, y = slice(a, min(a + BLOCK, a_hi)), slice(b, min(b + BLOCK, b_hi))
+            far = np.bitwise_count(keys[x, None] ^ keys[None, y])
+            far += np.bitwise_count(rest[x, None] ^ rest[None, y])
+            i, j = np.nonzero(far <= budget)
+            i, j = i + a, j + b
+            yield i[i < j], j[i < j]
+
+
 class Tries(NamedTuple):
     """How fingerprints are cut: the blocks' widths, and for each trie the blocks in their order, those on top first."""
 
